@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shipping import ship
+
 #: ASCII letters only, as the contracts ask; bytes.lower() and this agree.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,6 +73,7 @@ def map_rows(df: DataFrame, each, schema: str, arrow_schema: pa.Schema, size: in
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(each(rows_of(source)), arrow_schema, size)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from corpusloom.llm import langid, pii
+
+QUERIES: dict = {
+    "op8_pii": pii.op8_pii,
+    "op9_language_id": langid.op9_language_id,
+}
 ORACLES: dict = {}
