@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import langid, pii
+from corpusloom.llm import bpe, exact_dedup, langid, pii, simhash
 
 QUERIES: dict = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
     "op8_pii": pii.op8_pii,
     "op9_language_id": langid.op9_language_id,
+    "op10_bpe": bpe.op10_bpe,
+}
+ORACLES: dict = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
-ORACLES: dict = {}
