@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, langid, pii, simhash
+from corpusloom.llm import bpe, decontaminate, exact_dedup, langid, pii, simhash
 
 QUERIES: dict = {
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_pii": pii.op8_pii,
@@ -12,5 +13,6 @@ QUERIES: dict = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict = {
+    "op4_decontamination": decontaminate.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
