@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, langid, pii, simhash
+from corpusloom.llm import bpe, decontaminate, exact_dedup, langid, pii, simhash, substrings, warc
 
 QUERIES: dict = {
+    "op1_warc": warc.op1_warc,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
