@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shipping import ship
 from corpusloom.llm.common import map_rows, table
 
 
@@ -199,6 +200,22 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     return map_rows(df.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, lang_pred string, score double", pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]))
 
 
+def annotate(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df's rows as they are, with the prediction's two columns. names must not be among df's columns."""
+    ship(df.sparkSession)
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(source):
+        m = shipped.value
+        for b in source:
+            found = [m.predict(x) for x in b.column(at).to_pylist()]
+            lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, *names])
+
+    return df.mapInArrow(run, df.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
+
+
 def remainder():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
@@ -217,4 +234,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-__all__ = ["Model", "Params", "fit", "ftrl", "identify", "op9_language_id", "predict", "training_rows"]
+__all__ = ["Model", "Params", "annotate", "fit", "ftrl", "identify", "op9_language_id", "predict", "training_rows"]

@@ -60,14 +60,14 @@ def fingerprint(data: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, text_hash (XXH64 of the whole text), fp (the fingerprint as a signed long)."""
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, data in rows:
+        for key, text_hash, data in rows:
             f = fingerprint(data, size)
-            yield key, f - (1 << 64) if f >> 63 else f
+            yield key, text_hash, f - (1 << 64) if f >> 63 else f
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")), each, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(utf8(text_col)).alias("text_hash"), utf8(text_col).alias("data")), each, "doc_id long, text_hash long, fp long", pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())]))
 
 
 def _high(fp):
@@ -103,14 +103,14 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable, itself included); one row per input row."""
+    """doc_id, text_hash, fp, component (a fingerprint of it), component_id (the smallest id reachable, itself included); one row per input row."""
     rows = materialize(fingerprints(docs, id_col, text_col, size), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), radius))
     labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.join(least, "component").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(labelled.join(least, "component").select("fp", "component", "component_id"), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
