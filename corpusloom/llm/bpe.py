@@ -3,12 +3,14 @@
 1. Spark splits each whole text into words, at single spaces between two characters that cannot be white space. The
    tokenizer's own pre-tokenizer always cuts there, whatever stands left or right, so a text's ids are its words' ids
    in order (a special token's string holds no space and so stays within one word).
-2. Runs of documents ("blocks") keep their words as positions in the block's dictionary; each dictionary is cut into
-   buckets by word hash. Both are written to the shared folder.
-3. Buckets meet by number: equal words of all blocks stand together, each distinct word is encoded once, its ids are
-   turned into pieces by a join on the vocabulary, and each block gets the answers for its own words. A word, however
-   frequent, is one entry in each block, so there is no hot key.
-4. Blocks and answers meet by block; ids and pieces are put in the place of each position.
+2. Runs of documents ("blocks") get a dictionary each, cut into buckets by word hash. The dictionaries alone are
+   shuffled, by bucket: equal words of all blocks stand together and each distinct word is encoded once. A word,
+   however frequent, is one entry in each block, so there is no hot key. Each block gets the ids of its own words.
+3. Blocks, as positions in their dictionaries, meet those answers by block. Each word's ids are turned into pieces by
+   a join on the vocabulary; ids and pieces are put in the place of each position.
+
+Steps 2 and 3 read the input once each and cut it into blocks alike. A block's name holds a digest of its content, so an
+input that is not the same both times is noticed; stable=False (the default) writes it to the shared folder first.
 
 A null text counts as empty: no ids. Repeated rows are encoded each on its own. An empty table gives an empty
 result. Only the named id and text columns are read. A very long text is a block of its own.
@@ -17,6 +19,7 @@ result. Only the named id and text columns are read. A very long text is a block
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +52,6 @@ def tokenizer_text(path: str | None = None) -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(text: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -71,55 +73,87 @@ def pieces(text: str) -> list[bytes]:
     return out
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(raw)
+
+
+def _open(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def _pack(parts: list[bytes]) -> bytes:
     """Byte strings with their lengths, compressed."""
-    return zlib.compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts), 1)
+    return _squeeze(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
 
 
-def _unpack(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
-    body, start, out = memoryview(raw)[4 + 4 * n :], 0, []
-    for end in ends:
-        out.append(bytes(body[start:end]))
+def _cut(lengths: np.ndarray, body: bytes) -> list[bytes]:
+    out, start = [], 0
+    for end in np.cumsum(lengths).tolist():
+        out.append(body[start:end])
         start = end
     return out
 
 
-_BLOCKS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary())])
+def _unpack(blob: bytes) -> list[bytes]:
+    raw = _open(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return _cut(np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :])
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers by the significance of their bytes, which compresses better."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
 
+def _whole(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-def _block_rows(source: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
-    """One row a document (bucket -1; positions in the block's dictionary) and one for each bucket of the dictionary."""
+
+def _blocks(source: Iterator[pa.RecordBatch], buckets: int):
+    """block, documents' ids, ends of their positions, positions, dictionary, bounds of its buckets."""
     context = TaskContext.get()
     part = context.partitionId() if context else 0
     for number, batch in enumerate(source):
-        block = f"{part}-{number}"
+        if not batch.num_rows:
+            continue
         words = batch.column(1)
-        ends = np.asarray(words.offsets)
-        flat = words.values.slice(ends[0], ends[-1] - ends[0]) if len(words) else words.values
-        coded = pc.dictionary_encode(flat)
-        entries = coded.dictionary.cast(pa.binary()).to_pylist()
-        home = np.fromiter((zlib.crc32(w) % buckets for w in entries), np.int64, len(entries))
+        ends = np.asarray(words.offsets).astype(np.int64)
+        coded = pc.dictionary_encode(words.values.slice(ends[0], ends[-1] - ends[0]))
+        ends = ends[1:] - ends[0]
+        entries = coded.dictionary.cast(pa.binary())
+        by_word = np.asarray(pc.sort_indices(entries)).astype(np.int64)
+        listed = entries.take(pa.array(by_word)).to_pylist()
+        home = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) % buckets
         order = np.argsort(home, kind="stable")
-        place = np.empty(len(entries), np.int64)
-        place[order] = np.arange(len(entries))
-        codes = place[np.asarray(coded.indices)].astype("<u4")
-        bounds = np.searchsorted(home[order], np.arange(buckets + 1))
-        order = order.tolist()
+        place = np.empty(len(listed), np.int64)
+        place[by_word[order]] = np.arange(len(listed))
+        codes = place[np.asarray(coded.indices)]
+        listed = [listed[i] for i in order.tolist()]
+        ids = batch.column(0).to_pylist()
+        digest = hashlib.blake2b(repr(ids).encode() + codes.tobytes() + b"\0".join(listed), digest_size=12).hexdigest()
+        yield f"{part}-{number}-{digest}", ids, ends, codes, listed, np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
+
+
+def _dictionary_rows(source: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
+    for block, _, _, _, listed, bounds in _blocks(source, buckets):
         for b in range(buckets):
             if bounds[b] < bounds[b + 1]:
-                yield block, b, None, _pack([entries[i] for i in order[bounds[b] : bounds[b + 1]]])
-        ids, ends = batch.column(0).to_pylist(), (ends - ends[0]).tolist() if len(words) else [0]
-        for i, key in enumerate(ids):
-            yield block, -1, key, zlib.compress(codes[ends[i] : ends[i + 1]].tobytes(), 1)
+                yield block, b, _pack(listed[bounds[b] : bounds[b + 1]])
+
+
+def _position_rows(source: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
+    for block, ids, ends, codes, listed, _ in _blocks(source, buckets):
+        keys = pa.BufferOutputStream()
+        column = pa.record_batch([pa.array(ids, pa.int64()), pa.array(ends)], ["id", "end"])
+        with pa.ipc.new_stream(keys, column.schema) as out:
+            out.write_batch(column)
+        yield block, len(listed), _squeeze(keys.getvalue().to_pybytes()), _squeeze(_planes(codes))
 
 
 def _encode_bucket(rows: Iterator[tuple], text: str) -> Iterator[tuple]:
     """Rows of one bucket after another; each distinct word of a bucket is encoded once."""
-    t, piece = _tokenizer(text), pieces(text)
-    known: dict[bytes, tuple[bytes, bytes]] = {}
+    t = _tokenizer(text)
+    known: dict[bytes, bytes] = {}
     now = None
     for block, bucket, body in rows:
         if bucket != now:
@@ -129,59 +163,71 @@ def _encode_bucket(rows: Iterator[tuple], text: str) -> Iterator[tuple]:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, t.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids = e.ids
-                known[w] = np.array(ids, "<u4").tobytes(), b"".join([piece[i] for i in ids])
-        found = [known[w] for w in words]
-        yield block, bucket, _pack([x[0] for x in found]), _pack([x[1] for x in found])
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        ids = [known[w] for w in words]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        yield block, bucket, _squeeze(np.array([len(ids)], "<u4").tobytes() + counts.astype("<u4").tobytes() + _planes(np.frombuffer(b"".join(ids), "<u4")))
 
 
-def _rejoin(rows: Iterator[tuple], with_tokens: bool) -> Iterator[tuple]:
-    """Rows of a block: its answers by bucket, then its documents."""
-    now, ids, text = None, [], []
-    for block, bucket, doc_id, body, more in rows:
-        if block != now:
-            now, ids, text = block, [], []
-        if bucket >= 0:
-            ids += _unpack(body)
-            text += _unpack(more)
-            continue
-        codes = np.frombuffer(zlib.decompress(body), "<u4").tolist()
-        coded = b"".join([ids[c] for c in codes])
-        decoded = b"".join([text[c] for c in codes]).decode("utf-8", "replace").encode()
-        out = doc_id, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest()
-        yield (*out, np.frombuffer(coded, "<u4").tolist(), decoded.decode()) if with_tokens else out
+def _answers(blob: bytes) -> list[bytes]:
+    raw = _open(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return _cut(np.frombuffer(raw, "<u4", n, 4).astype(np.int64) * 4, _whole(raw[4 + 4 * n :]).tobytes())
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, buckets: int | None = None, with_tokens: bool = False) -> DataFrame:
+def _rejoin(rows: Iterator[tuple], text: str, with_tokens: bool) -> Iterator[tuple]:
+    """Rows of a block: its answers by bucket, then its documents' positions."""
+    piece = pieces(text)
+    now, ids = None, []
+    for block, size, keys, body in rows:
+        if block != now:
+            now, ids = block, []
+        if size is None:
+            ids += _answers(body)
+            continue
+        if len(ids) != size:
+            raise RuntimeError("the input was not the same when it was read again; use stable=False")
+        shown = [b"".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+        codes = _whole(_open(body))
+        documents = pa.ipc.open_stream(_open(keys)).read_all()
+        start = 0
+        for key, end in zip(documents.column(0).to_pylist(), documents.column(1).to_pylist()):
+            own = codes[start:end].tolist()
+            start = end
+            coded = b"".join([ids[c] for c in own])
+            decoded = b"".join([shown[c] for c in own]).decode("utf-8", "replace").encode()
+            out = key, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            yield (*out, np.frombuffer(coded, "<u4").tolist(), decoded.decode()) if with_tokens else out
+
+
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, buckets: int | None = None, with_tokens: bool = False, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with_tokens also ids and decoded.
 
     buckets: groups of the distinct-word table, each held by one task at a time; by default one for each shuffle partition.
+    stable: docs is a plain scan of files, and so the same rows in the same order whenever it is read.
     """
     spark = docs.sparkSession
     ship(spark)
     text = tokenizer_text(path)
     shipped = spark.sparkContext.broadcast(text)  # one file of a fixed size
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), WORD_CUT).alias("words"))
-
-    def blocks(source):
-        return batches(_block_rows(source, buckets), _BLOCKS)
-
-    written = materialize(split.mapInArrow(blocks, "block string, bucket int, doc_id long, body binary"), "bpe-blocks")
-    dictionary = written.where("bucket >= 0").select("block", "bucket", "body").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    answers = map_rows(
-        dictionary,
-        lambda rows: _encode_bucket(rows, shipped.value),
-        "block string, bucket int, ids binary, pieces binary",
-        pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.binary()), ("pieces", pa.binary())]),
-    )
-    documents = written.where("bucket < 0").select("block", F.lit(2147483647).alias("place"), "bucket", "doc_id", "body", F.lit(None).cast("binary").alias("more"))
-    both = documents.unionAll(answers.select("block", F.col("bucket").alias("place"), "bucket", F.lit(None).cast("long"), "ids", "pieces"))
-    together = both.repartition("block").sortWithinPartitions("block", "place").select("block", "bucket", "doc_id", "body", "more")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not stable:
+        source = materialize(source, "bpe-input")
+    split = source.select("doc_id", F.split("text", WORD_CUT).alias("words"))
+
+    dictionary_schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
+    position_schema = pa.schema([("block", pa.string()), ("size", pa.int64()), ("keys", pa.binary()), ("body", pa.binary())])
+    dictionary = split.mapInArrow(lambda x: batches(_dictionary_rows(x, buckets), dictionary_schema), "block string, bucket int, body binary")
+    positions = split.mapInArrow(lambda x: batches(_position_rows(x, buckets), position_schema), "block string, size long, keys binary, body binary")
+    by_bucket = dictionary.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    answers = map_rows(by_bucket, lambda rows: _encode_bucket(rows, shipped.value), "block string, bucket int, body binary", dictionary_schema)
+    both = positions.select("block", F.lit(2147483647).alias("place"), "size", "keys", "body").unionAll(answers.select("block", F.col("bucket").alias("place"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "body"))
+    together = both.repartition("block").sortWithinPartitions("block", "place").select("block", "size", "keys", "body")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_tokens
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int64())), ("decoded", pa.string())] * with_tokens)
-    return map_rows(together, lambda rows: _rejoin(rows, with_tokens), schema, arrow)
+    return map_rows(together, lambda rows: _rejoin(rows, shipped.value, with_tokens), schema, arrow)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"))
+    return encode_decode(table(spark, sf_dir, "documents"), stable=True)

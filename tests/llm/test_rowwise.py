@@ -109,8 +109,9 @@ def test_bpe_equals_the_library(spark, docs, small):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # several blocks
     try:
         for df in (docs, spark.read.parquet(f"{small}/documents.parquet"), docs.limit(0), docs.select("doc_id", F.lit(None).cast("string").alias("text"))):
-            found = bpe.encode_decode(df, buckets=5)
-            assert _bag(map(tuple, found.collect())) == _bag(want(r.doc_id, r.text) for r in df.collect())
+            held = [want(r.doc_id, r.text) for r in df.collect()]
+            for stable in (False, True):
+                assert _bag(map(tuple, bpe.encode_decode(df, buckets=5, stable=stable).collect())) == _bag(held)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept = bpe.encode_decode(spark.createDataFrame([(1, "naïve <|endoftext|> 日本")], "doc_id long, text string"), with_tokens=True).first()
