@@ -320,6 +320,17 @@ def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.invariant_violations(spans, facts, SEQ, ["lane", "seq"], False).agg(F.count("*").alias("violations"))
 
 
+_HELD_SQL = SPANS_SQL.replace("WHERE split = 'train' AND lane = 'web'", "WHERE split <> 'train' AND lane = 'web'").replace("SELECT doc_key, lane, n_tokens, coalesce", "SELECT doc_key, split AS lane, n_tokens, coalesce").replace("PARTITION BY lane ORDER BY sha256", "PARTITION BY split ORDER BY sha256")
+
+
+@query(f"""WITH {_HELD_SQL} SELECT lane AS split, count(DISTINCT seq) AS sequences, count(*) AS segments, sum("end" - start)::BIGINT AS real_tokens, sum("end" - start - 1)::BIGINT AS loss_tokens FROM spans GROUP BY 1""")
+def held_out_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and evaluation documents, packed without the gate, the last, partial sequence kept."""
+    docs = lanes.facts(spark, sf_dir).where("split <> 'train' and lane = 'web'").select("doc_key", F.col("split").alias("lane"), "n_tokens")
+    spans = packing.concat_spans(packing.with_order(docs), SEQ)
+    return spans.groupBy(F.col("lane").alias("split")).agg(F.countDistinct("seq").alias("sequences"), F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).cast("long").alias("real_tokens"), F.sum(F.col("end") - F.col("start") - 1).cast("long").alias("loss_tokens"))
+
+
 # --- tokenizer
 
 
