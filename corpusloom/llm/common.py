@@ -16,16 +16,19 @@ from corpusloom.functions.shipping import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_OWN: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one that the session then keeps."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder of spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one for the application."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="corpusloom-")
+    return "file://" + _OWN[context.applicationId]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
