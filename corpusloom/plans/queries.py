@@ -179,7 +179,7 @@ def quality_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- mixture plans
 
 
-@query(f"WITH RECURSIVE {PLAN_SQL} SELECT step, stage, lane, planned::INTEGER AS planned, floor, accept::DOUBLE AS accept, reject::DOUBLE AS reject FROM plan")
+@query(f"WITH RECURSIVE {PLAN_SQL} SELECT step::INTEGER AS step, stage, lane, planned::INTEGER AS planned, floor, accept::DOUBLE AS accept, reject::DOUBLE AS reject FROM plan")
 def mixture_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.compile_plan(spark).drop("adjusted")
 
