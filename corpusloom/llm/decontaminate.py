@@ -9,8 +9,8 @@
    least a window's length are exact phrase matches. With a smaller `least` share of a window's words the same lists
    give proximity matches.
 
-Nothing is broadcast unless its rows have been counted: the benchmark's terms up to TERM_LIMIT, anchors alike; beyond
-it Spark joins by shuffle. A term that most documents hold is an anchor only of a window that has no rarer one.
+Nothing is broadcast unless its rows have been counted: the benchmark's terms and anchors up to TERM_LIMIT, candidates'
+rows up to ROW_LIMIT; beyond it Spark joins by shuffle. A term that most documents hold is an anchor only of a window that has no rarer one.
 
 A null text has no words. A null item id is no item. Repeated items of one id count once; repeated documents are rows of
 their own. Empty tables give no hits. Only the named id and text columns are read.
@@ -28,6 +28,8 @@ WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of the benchmark's side up to which it is broadcast; they are short: a term, two numbers.
 TERM_LIMIT = 1_000_000
+#: Rows with a candidate up to which they are broadcast, one number each, to filter the postings.
+ROW_LIMIT = 1_000_000
 
 
 def words(text: str):
@@ -73,6 +75,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shifts = materialize(shifts, "decon-shifts")
     places = counted.select("item", "n", "w", "j", "term_id")
     expected = shifts.join(_small(places, places.count()), "item").select("row", (F.col("shift") + F.col("j")).alias("pos"), "term_id", "item", "shift", "j", "w", "n").where("pos >= 0")
+    rows = materialize(shifts.select("row").distinct(), "decon-rows")
+    if rows.count() <= ROW_LIMIT:  # only postings of rows with a candidate are shuffled
+        postings = postings.join(F.broadcast(rows), "row", "left_semi")
     matched = postings.join(expected, ["row", "pos", "term_id"]).select("item", "row", "shift", "j", "w", "n")
     return _runs(matched, least).join(counted.select("item", "item_id").distinct(), "item").select("row", "pos", "item_id").distinct()
 

@@ -60,6 +60,7 @@ def _case():
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_decontamination(spark, monkeypatch, least, limit):
     monkeypatch.setattr(decontaminate, "TERM_LIMIT", limit)  # 0: nothing is broadcast
+    monkeypatch.setattr(decontaminate, "ROW_LIMIT", limit)
     data, items = _case()
     docs = spark.createDataFrame([(*x, 1, 2) for x in data], "doc_id long, text string, item_id long, row long").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
