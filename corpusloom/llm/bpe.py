@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.shipping import ship
-from corpusloom.llm.common import batches, map_rows, materialize, table
+from corpusloom.llm.common import batches, bound_batches, map_rows, materialize, release, table
 
 #: Characters that are no white space in any version of Unicode: printable ASCII, and ranges around the spaces.
 _INK = r"\x21-\x7E" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0x167F), (0x3001, 0xD7FF)))
@@ -109,13 +109,25 @@ def _whole(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+#: Words of a block, which bounds what a task holds; a longer text is a block of its own.
+BLOCK_WORDS = 1_000_000
+
+
+def _parts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of at most BLOCK_WORDS words, one row at least."""
+    for batch in source:
+        ends, start = np.asarray(batch.column(1).offsets).astype(np.int64), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK_WORDS, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _blocks(source: Iterator[pa.RecordBatch], buckets: int):
     """block, documents' ids, ends of their positions, positions, dictionary, bounds of its buckets."""
     context = TaskContext.get()
     part = context.partitionId() if context else 0
-    for number, batch in enumerate(source):
-        if not batch.num_rows:
-            continue
+    for number, batch in enumerate(_parts(source)):
         words = batch.column(1)
         ends = np.asarray(words.offsets).astype(np.int64)
         coded = pc.dictionary_encode(words.values.slice(ends[0], ends[-1] - ends[0]))
@@ -208,6 +220,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
     text = tokenizer_text(path)
     shipped = spark.sparkContext.broadcast(text)  # one file of a fixed size
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -218,8 +231,15 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     dictionary_schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
     position_schema = pa.schema([("block", pa.string()), ("size", pa.int64()), ("keys", pa.binary()), ("body", pa.binary())])
-    dictionary = split.mapInArrow(lambda x: batches(_dictionary_rows(x, buckets), dictionary_schema), "block string, bucket int, body binary")
-    positions = split.mapInArrow(lambda x: batches(_position_rows(x, buckets), position_schema), "block string, size long, keys binary, body binary")
+    def whole(rows, schema):
+        def run(source):
+            yield from batches(rows(source, buckets), schema)
+            release()
+
+        return run
+
+    dictionary = split.mapInArrow(whole(_dictionary_rows, dictionary_schema), "block string, bucket int, body binary")
+    positions = split.mapInArrow(whole(_position_rows, position_schema), "block string, size long, keys binary, body binary")
     by_bucket = dictionary.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     answers = map_rows(by_bucket, lambda rows: _encode_bucket(rows, shipped.value), "block string, bucket int, body binary", dictionary_schema)
     both = positions.select("block", F.lit(2147483647).alias("place"), "size", "keys", "body").unionAll(answers.select("block", F.col("bucket").alias("place"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "body"))

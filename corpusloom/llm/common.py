@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,13 +71,31 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def bound_batches(spark: SparkSession, records: int = 2000) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, unless the session has chosen its own size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(records))
+
+
 def map_rows(df: DataFrame, each, schema: str, arrow_schema: pa.Schema, size: int = 2000) -> DataFrame:
     """mapInArrow with a function from an iterator of row tuples to an iterator of row tuples."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches(each(rows_of(source)), arrow_schema, size)
+        yield from batches(each(rows_of(source)), arrow_schema, size)
+        release()
 
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

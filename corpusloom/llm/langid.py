@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.shipping import ship
-from corpusloom.llm.common import map_rows, table
+from corpusloom.llm.common import bound_batches, map_rows, release, table
 
 
 @dataclass(frozen=True)
@@ -203,6 +203,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
 def annotate(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """df's rows as they are, with the prediction's two columns. names must not be among df's columns."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
@@ -212,6 +213,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", names: tuple[s
             found = [m.predict(x) for x in b.column(at).to_pylist()]
             lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, *names])
+        release()
 
     return df.mapInArrow(run, df.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
 

@@ -222,3 +222,17 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bpe_blocks_hold_a_bounded_number_of_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 5)
+    lengths = [2, 3, 1, 0, 9, 0, 5, 1]
+    batch = pa.record_batch([pa.array(range(8)), pa.array([["w"] * n for n in lengths], pa.list_(pa.string()))], ["doc_id", "words"])
+    for whole in (batch, batch.slice(1, 6)):
+        parts = list(bpe._parts(iter([whole])))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == whole.column(0).to_pylist()
+        assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 5 for p in parts)
+        keys = [k for _, ids, *_ in bpe._blocks(iter([whole]), 3) for k in ids]
+        assert keys == whole.column(0).to_pylist()
