@@ -30,39 +30,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang_pred", "_score")
 
 
+#: Rows of dropped documents up to which their keys, one number each, are broadcast; beyond it Spark shuffles.
+KEY_LIMIT = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
+    """docs but those whose key (a column of 64 bits) is in gone (a written table of distinct _key). Texts stay where they are while gone is small."""
+    few = gone.count() <= KEY_LIMIT
+    return docs.withColumn("_key", key).join(F.broadcast(gone) if few else gone, "_key", "left_anti").drop("_key")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup.deduplicate(docs)
-    dropped = materialize(found.where(~F.col("kept")).select(_key(F.col("text_sha256"))), "pipeline-exact").distinct()
+    found = materialize(exact_dedup.deduplicate(docs).select("doc_id", "kept", "text_sha256"), "pipeline-found")
+    dropped = materialize(found.where(~F.col("kept")).select(F.xxhash64("doc_id", "text_sha256").alias("_key")).distinct(), "pipeline-exact")
     several = found.where("kept").groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_sha256").alias("_sha"))
     several = materialize(several, "pipeline-several")
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rest = docs.withColumn("_sha", sha).withColumn("_key", _key(F.col("_sha"))).join(dropped, "_key", "left_anti").drop("_key")
+    rest = _without(docs.withColumn("_sha", sha), dropped, F.xxhash64("doc_id", "_sha"))
     order = [F.col(c).asc_nulls_last() for c in docs.columns]
     one = rest.join(several, "_sha", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_sha").orderBy(*order))).where("_n = 1")
     return rest.join(several, "_sha", "left_anti").select(docs.columns).unionAll(one.select(docs.columns))
 
 
-def _key(sha):
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha).alias("_key")
-
-
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(simhash.near_duplicates(docs).select("doc_id", "text_hash", "component"), "pipeline-near")
     me = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
     stays = materialize(found.groupBy("component").agg(F.min(me).alias("stays"), F.count("*").alias("n")).where("n > 1").select("component", "stays"), "pipeline-stays")
-    dropped = found.join(stays, "component").where(~me.eqNullSafe(F.col("stays"))).select(_row(F.col("text_hash"))).distinct()
+    dropped = found.join(stays, "component").where(~me.eqNullSafe(F.col("stays"))).select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct()
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    return docs.withColumn("_row", _row(text_hash)).join(materialize(dropped, "pipeline-dropped"), "_row", "left_anti").select(docs.columns)
-
-
-def _row(text_hash):
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_hash.cast("string")).alias("_row")
+    return _without(docs, materialize(dropped, "pipeline-dropped"), F.xxhash64(F.col("doc_id"), text_hash)).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.where("contaminated").select(F.col("row_id").alias("_row")).distinct(), "pipeline-benchmark")
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(gone, "_row", "left_anti").select(docs.columns)
+    gone = materialize(found.where("contaminated").select(F.col("row_id").alias("_key")).distinct(), "pipeline-benchmark")
+    return _without(docs, gone, F.xxhash64("doc_id", "text")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
