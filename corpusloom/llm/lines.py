@@ -11,7 +11,8 @@ all. So a line of n holders gives n - 1 pairs, not n squared, whatever n is, and
 share of them.
 
 Each pair is aligned by patience diff: lines that stand once in both documents are matched in order by a longest increasing
-sequence, and matches grow over equal neighbours. Aligned blocks of at least MIN_LINES lines or BLOCK_CHARS characters
+sequence, matches grow over equal neighbours, and the gaps between them are aligned in the same way; a gap without such a
+line is aligned by a longest common subsequence. Aligned blocks of at least MIN_LINES lines or BLOCK_CHARS characters
 are deleted from the later document. A document's deletions are judged on the inputs and joined over its partners.
 
 What moves: (hash, document) of each line, then the lines' hashes of paired documents; texts themselves move once, to
@@ -35,6 +36,8 @@ from corpusloom.llm.common import map_rows, materialize, table, utf8
 
 MIN_CHARS, REACH, SALTS = 10, 4, 64
 MIN_LINES, BLOCK_CHARS = 3, 40
+#: Bits of an LCS table held at once.
+LCS_BITS = 1 << 28
 _BLANK = b" \t\r\x0b\x0c"
 
 
@@ -45,8 +48,8 @@ def line_hashes(data: bytes) -> tuple[list[int], list[int]]:
     return hashes, list(map(len, stripped))
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) of two sequences of hashes, both increasing; 0 aligns with nothing."""
+def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Lines that stand once in both, in order: a longest increasing sequence of their places."""
 
     def once(x: list[int]) -> dict[int, int | None]:
         seen: dict[int, int | None] = {}
@@ -72,24 +75,79 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     while at is not None:
         chain.append(nodes[at][:2])
         at = nodes[at][2]
-    chain.reverse()
+    return chain[::-1]
+
+
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Bit rows of the LCS table, the last one alone unless keep: bit j of row i is 0 where b's first j + 1 lines add one to its first j's."""
+    masks: dict[int, int] = {}
+    for j, h in enumerate(b):
+        masks[h] = masks.get(h, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    rows = [row]
+    for h in a:
+        hit = row & masks.get(h, 0)
+        row = (row + hit | row - hit) & full
+        if keep:
+            rows.append(row)
+        else:
+            rows[0] = row
+    return rows
+
+
+def _lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; ties go to the last places, and to unbroken runs."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > LCS_BITS:  # Hirschberg: halves, so that no table of all rows is held
+        half, m = len(a) // 2, len(b)
+
+        def grown(row: int) -> list[int]:
+            out = [0]
+            for bit in reversed(bin(row | 1 << m)[3:]):
+                out.append(out[-1] + (bit == "0"))
+            return out
+
+        head, tail = grown(_rows(a[:half], b, False)[0]), grown(_rows(a[half:][::-1], b[::-1], False)[0])
+        cut = max(range(m + 1), key=lambda j: (head[j] + tail[m - j], j))
+        return _lcs(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _lcs(a[half:], b[cut:])]
+    rows, i, j = _rows(a, b, True), len(a), len(b)
     out: list[tuple[int, int]] = []
-    for n, (i, j) in enumerate(chain):
-        low_i, low_j = (out[-1][0] + 1, out[-1][1] + 1) if out else (0, 0)
-        if i < low_i or j < low_j:
-            continue  # an earlier match has grown over it
-        back: list[tuple[int, int]] = []
-        x, y = i - 1, j - 1
-        while x >= low_i and y >= low_j and a[x] and a[x] == b[y]:
-            back.append((x, y))
-            x, y = x - 1, y - 1
-        out += back[::-1] + [(i, j)]
-        end_i, end_j = chain[n + 1] if n + 1 < len(chain) else (len(a), len(b))
-        x, y = i + 1, j + 1
-        while x < end_i and y < end_j and a[x] and a[x] == b[y]:
-            out.append((x, y))
-            x, y = x + 1, y + 1
-    return out
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (i, j) of two sequences of hashes, both increasing; 0 aligns with nothing."""
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b), False, False)]  # the last two: an aligned line stands before, after the gap
+    while gaps:
+        i, end_i, j, end_j, before, after = gaps.pop()
+        while before and i < end_i and j < end_j and a[i] and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while after and i < end_i and j < end_j and a[end_i - 1] and a[end_i - 1] == b[end_j - 1]:
+            end_i, end_j = end_i - 1, end_j - 1
+            out.append((end_i, end_j))
+        if i == end_i or j == end_j:
+            continue
+        chain = [(i + x, j + y) for x, y in _anchors(a[i:end_i], b[j:end_j])]
+        if chain:
+            out += chain
+            starts, stops = [(i - 1, j - 1), *chain], [*chain, (end_i, end_j)]
+            gaps += [(x + 1, u, y + 1, v, n > 0 or before, n < len(chain) or after) for n, ((x, y), (u, v)) in enumerate(zip(starts, stops))]
+            continue
+        both = set(a[i:end_i]) & set(b[j:end_j]) - {0}
+        xs, ys = [x for x in range(i, end_i) if a[x] in both], [y for y in range(j, end_j) if b[y] in both]
+        out += [(xs[x], ys[y]) for x, y in _lcs([a[x] for x in xs], [b[y] for y in ys])]
+    return sorted(out)
 
 
 def blocks(pairs: list[tuple[int, int]], sizes: list[int]) -> list[int]:

@@ -84,6 +84,33 @@ def test_patience():
         assert all(a[i] == b[j] != 0 for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def _lcs_length(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = best
+        best = [0]
+        for j, y in enumerate(b):
+            best.append(last[j] + 1 if x == y != 0 else max(best[j], last[j + 1]))
+    return best[-1]
+
+
+def test_patience_of_repeated_lines(monkeypatch):
+    assert len(lines.patience([1, 2, 3, 1, 2, 3], [1, 2, 3])) == 3 and lines.patience([1, 2, 3], [1, 2, 3, 1, 2, 3]) == [(0, 3), (1, 4), (2, 5)]
+    twice = [5, 6, 5, 6, 0, 6]
+    assert lines.patience(twice, twice) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)]
+    # 3 and 4 stand twice in all, and once in the gap between the anchors 1 and 2
+    assert lines.patience([3, 4, 1, 7, 3, 4, 8, 2], [1, 9, 3, 4, 9, 2, 3, 4]) == [(2, 0), (4, 2), (5, 3), (7, 5)]
+    r = random.Random(4)
+    for bits in (1 << 28, 20):
+        monkeypatch.setattr(lines, "LCS_BITS", bits)
+        for _ in range(200):
+            a, b = ([r.choice([1, 2, 3]) for _ in range(r.randint(0, 14))] for _ in range(2))
+            pairs = lines._lcs(a, b)
+            assert len(pairs) == _lcs_length(a, b) and all(a[i] == b[j] for i, j in pairs)
+            a, b = a + a + [0], [0] + b + b  # nothing stands once
+            assert len(lines.patience(a, b)) == _lcs_length(a, b)
+
+
 def _brute(data):
     """With one salt group a rare line's partner is its least holder."""
     hashed = [(k, *lines.line_hashes((t or "").encode()), t) for k, t in data]
