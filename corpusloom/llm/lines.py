@@ -10,6 +10,13 @@ hash; in its group a document's partner is the group's least id, and a least one
 all. So a line of n holders gives n - 1 pairs, not n squared, whatever n is, and no partner is asked by more than a
 share of them.
 
+With complete=True, as the query asks, the outcome is that of an alignment with every earlier document. Seeds are the
+runs that any long enough block is made of: MIN_LINES lines, or fewer of BLOCK_CHARS characters. A seed of which a line
+still stands is open. Documents are aligned with the least holder of each open seed (of its k-th copy in a document: also
+with the least that holds k), and, where it is open after that, with all its earlier holders of different lines. A document
+left out shares no open seed, so it could delete nothing more. The last pass is quadratic in the holders of seeds that stay
+open: passages in another order, or repeated more often, than where they stand first.
+
 Each pair is aligned by patience diff: lines that stand once in both documents are matched in order by a longest increasing
 sequence, matches grow over equal neighbours, and the gaps between them are aligned in the same way; a gap without such a
 line is aligned by a longest common subsequence. Aligned blocks of at least MIN_LINES lines or BLOCK_CHARS characters
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,8 +186,79 @@ def _rare(df_by_line: list[int | None], hashes: list[int]) -> list[int]:
     return out
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256, with_text also kept_text; one row per input row."""
+def _aligned(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """pairs: doc_id, row, earlier. doc_id, row, places that a pair deletes."""
+    # a partner's lines come to each pair, then the later document's own; ids are unique or told apart by row
+    with_earlier = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a")), "earlier")
+    both = with_earlier.join(listed.select("doc_id", "row", "hashes", "sizes"), ["doc_id", "row"]).select("doc_id", "row", "a", "hashes", "sizes")
+
+    def aligned(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, row, a, b, sizes in rows:
+            found = blocks(patience(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()), np.frombuffer(sizes, "<u4").tolist())
+            if found:
+                yield key, row, found
+
+    hit_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("places", pa.list_(pa.int32()))])
+    return map_rows(both, aligned, "doc_id long, row long, places array<int>", hit_schema)
+
+
+def _places(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", "row", F.explode("places").alias("place")).distinct().groupBy("doc_id", "row").agg(F.collect_list("place").alias("places"))
+
+
+def seeds(hashes: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs that every long enough block is a union of."""
+    for i in range(len(hashes)):
+        weight = 0
+        for end in range(i + 1, min(i + MIN_LINES, len(hashes)) + 1):
+            if not hashes[end - 1]:
+                break
+            weight += sizes[end - 1]
+            if end - i == MIN_LINES or weight >= BLOCK_CHARS:
+                yield i, end
+
+
+def _seeded(listed: DataFrame, gone: DataFrame, only_open: bool) -> DataFrame:
+    """doc_id, row, seed, copy (of the seed with its number in the document), first (whether that is 1), open."""
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, row, hashes, sizes, places in rows:
+            drop, counts = set(places or ()), Counter()
+            for i, end in seeds(np.frombuffer(hashes, "<i8").tolist(), np.frombuffer(sizes, "<u4").tolist()):
+                run = hashes[8 * i : 8 * end]
+                counts[run] += 1
+                left = not all(x in drop for x in range(i, end))
+                if left or not only_open:
+                    seed = xxhash.xxh64_intdigest(run) - (1 << 63)
+                    copy = seed if counts[run] == 1 else xxhash.xxh64_intdigest(run, counts[run]) - (1 << 63)
+                    yield key, row, seed, copy, counts[run] == 1, left
+
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("seed", pa.int64()), ("copy", pa.int64()), ("first", pa.bool_()), ("open", pa.bool_())])
+    rows = listed.join(gone, ["doc_id", "row"], "left").select("doc_id", "row", "hashes", "sizes", "places")
+    return map_rows(rows, each, "doc_id long, row long, seed long, copy long, first boolean, open boolean", schema)
+
+
+def _complete(listed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, row, places that an alignment with all earlier documents deletes; pairs: those to begin with."""
+    gone = materialize(_places(_aligned(pairs, listed)), "lines-gone")
+    held = materialize(_seeded(listed, gone, False), "lines-seeds")
+    least = materialize(held.groupBy("copy").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("copy", "least"), "lines-least")
+    wanted = held.where("open").select("doc_id", "row", F.explode(F.array_distinct(F.array("seed", "copy"))).alias("copy"))
+    earlier = materialize(wanted.join(least, "copy").where("least < doc_id").select("doc_id", "row", F.col("least").alias("earlier")).distinct(), "lines-earlier")
+    second = materialize(earlier.join(pairs, ["doc_id", "row", "earlier"], "left_anti"), "lines-second")
+    gone = materialize(_places(_aligned(second, listed).unionAll(gone)), "lines-gone")
+
+    todo = listed.join(earlier.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")  # of the others nothing is open
+    tried = pairs.unionAll(second)
+    still = _seeded(todo, gone, True).select("doc_id", "row", "seed").distinct()
+    holders = held.where("first").groupBy("seed", F.col("row").alias("lines")).agg(F.min("doc_id").alias("earlier"))
+    earlier = still.join(holders, "seed").where("earlier < doc_id").select("doc_id", "row", "earlier").distinct()
+    third = materialize(earlier.join(tried, ["doc_id", "row", "earlier"], "left_anti"), "lines-third")
+    return materialize(_places(_aligned(third, listed).unionAll(gone)), "lines-gone")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, complete: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256, with_text also kept_text; one row per input row. complete: against all earlier documents, not the rare lines' partners alone."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).withColumn("row", F.xxhash64("data")).select("doc_id", "row", "data")
     known = source.where("doc_id is not null")
 
@@ -219,19 +298,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salt = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).alias("salt")
     heads = materialize(rare.groupBy("line", salt).agg(F.min("doc_id").alias("head")), "lines-heads")
     pairs = rare.select("doc_id", "row", "line", "top", salt).join(heads, ["line", "salt"]).select("doc_id", "row", F.when(F.col("head") < F.col("doc_id"), F.col("head")).otherwise(F.col("top")).alias("earlier")).where("earlier < doc_id").distinct()
-    # a partner's lines come to each pair, then the later document's own; ids are unique or told apart by row
-    with_earlier = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a")), "earlier")
-    both = with_earlier.join(listed.select("doc_id", "row", "hashes", "sizes"), ["doc_id", "row"]).select("doc_id", "row", "a", "hashes", "sizes")
-
-    def aligned(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, row, a, b, sizes in rows:
-            found = blocks(patience(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()), np.frombuffer(sizes, "<u4").tolist())
-            if found:
-                yield key, row, found
-
-    hit_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("places", pa.list_(pa.int32()))])
-    hits = map_rows(both, aligned, "doc_id long, row long, places array<int>", hit_schema)
-    gone = materialize(hits.select("doc_id", "row", F.explode("places").alias("place")).distinct().groupBy("doc_id", "row").agg(F.collect_list("place").alias("places")), "lines-gone")
+    if complete:
+        gone = _complete(listed, materialize(pairs, "lines-pairs"))
+    else:
+        gone = materialize(_places(_aligned(pairs, listed)), "lines-gone")
     joined = source.join(gone, ["doc_id", "row"], "left").select("doc_id", "data", "places")
 
     def kept(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -246,4 +316,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents"), complete=True)
