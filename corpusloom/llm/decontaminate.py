@@ -13,7 +13,7 @@ Nothing is broadcast unless its rows have been counted: the benchmark's terms an
 rows up to ROW_LIMIT; beyond it Spark joins by shuffle. A term that most documents hold is an anchor only of a window that has no rarer one.
 
 A null text has no words. A null item id is no item. Repeated items of one id count once; repeated documents are rows of
-their own. Empty tables give no hits. Only the named id and text columns are read.
+their own, and identical ones have the same hits. Empty tables give no hits. Only the named id and text columns are read.
 """
 
 from __future__ import annotations
@@ -95,8 +95,10 @@ def _runs(matched: DataFrame, least: float) -> DataFrame:
     """item, row, pos of matched words that lie in an occurring window."""
     if least >= 1.0:
         same = Window.partitionBy("item", "row", "shift")
-        runs = matched.withColumn("run", F.col("j") - F.row_number().over(same.orderBy("j")))
-        long = runs.withColumn("length", F.count("*").over(Window.partitionBy("item", "row", "shift", "run")))
+        # identical rows share a key, so that j's come as often as the row does
+        runs = matched.withColumn("run", F.col("j") - F.dense_rank().over(same.orderBy("j")))
+        run = Window.partitionBy("item", "row", "shift", "run")
+        long = runs.withColumn("length", F.max("j").over(run) - F.min("j").over(run) + 1)
         return long.where("length >= w").select("item", "row", (F.col("shift") + F.col("j")).alias("pos"))
     start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - F.col("w") + 1), F.least(F.col("j"), F.col("n") - F.col("w"))))
     full = matched.select("item", "row", "shift", "j", "w", start.alias("start")).groupBy("item", "row", "shift", "start").agg(F.collect_set("j").alias("js"), F.first("w").alias("w"))

@@ -68,6 +68,19 @@ def test_decontamination(spark, monkeypatch, least, limit):
     assert _bag(map(tuple, found)) == _bag(_hits(data, items, least=least))
 
 
+@pytest.mark.parametrize("least", [1.0, 0.8])
+def test_decontamination_of_identical_rows(spark, tmp_path, least):
+    item = " ".join(f"term{i}" for i in range(12))
+    leak = f"before it {item} after it"
+    data = [(1, leak), (1, leak), (None, leak), (None, leak), (None, leak), (2, leak), (3, "nothing of it"), (3, "nothing of it")]
+    docs, items = spark.createDataFrame(data, "doc_id long, text string").repartition(3), [(1, item)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), least=least).drop("row_id").collect()
+    assert _bag(map(tuple, found)) == _bag(_hits(data, items, least=least)) and sum(r.n_hit == 12 for r in found) == 6
+    if least == 1.0:
+        assert [r.doc_id for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()] == [3, 3]
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame([(1, "alpha")], "item_id long, text string")
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
