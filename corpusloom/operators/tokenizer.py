@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,11 +84,12 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return paired.groupBy("pair").agg(F.sum("n").cast("long").alias("n"))
 
 
-def train(words: DataFrame, n_merges: int, least: int = 2, limit: int = 2_000_000) -> Tokenizer:
-    """Merges by count, ties by the smaller pair. Words counted less than `least` are left out; more than limit words are refused."""
-    rows = words.where(F.col("n") >= least).limit(limit + 1).collect()
+def train(words: DataFrame, n_merges: int, least: int = 1, limit: int = 2_000_000) -> Tokenizer:
+    """Merges by count, ties by the smaller pair. Words counted less than `least` are left out; more than limit words stay distributed."""
+    words = words.where(F.col("n") >= least)
+    rows = words.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"over {limit} distinct words: raise least, or limit if the driver holds them")
+        return _train_distributed(words, n_merges)
     split = [[list(r["word"].encode()), r["n"]] for r in sorted(rows, key=lambda r: r["word"])]
     counts: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -118,6 +120,32 @@ def train(words: DataFrame, n_merges: int, least: int = 2, limit: int = 2_000_00
     return Tokenizer(tuple(merges))
 
 
+def _train_distributed(words: DataFrame, n_merges: int) -> Tokenizer:
+    """Each merge from pair counts that Spark sums; a word's ids follow from the merges so far, so the words alone are kept."""
+    ship(words.sparkSession)
+    words = words.select("word", "n").persist(StorageLevel.DISK_ONLY)
+    merges: list[tuple[int, int]] = []
+    while len(merges) < n_merges:
+        ranks = Tokenizer(tuple(merges)).ranks()
+
+        def run(frames, ranks=ranks):
+            for f in frames:
+                counts: Counter = Counter()
+                for w, n in zip(f["word"], f["n"]):
+                    ids = encode_word(w.encode(), ranks)
+                    for p in zip(ids, ids[1:]):
+                        counts[p] += n
+                yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
+
+        summed = words.mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        best = summed.orderBy(F.desc("n"), "a", "b").first()
+        if best is None:
+            break
+        merges.append((best["a"], best["b"]))
+    words.unpersist()
+    return Tokenizer(tuple(merges))
+
+
 def freeze(tokenizer: Tokenizer) -> tuple[str, str]:
     """(file, lock): the tokenizer and its digest as JSON."""
     return json.dumps(tokenizer.as_dict(), sort_keys=True), json.dumps({"sha256": tokenizer.digest})

@@ -345,7 +345,7 @@ def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tokenizer.Tokenizer:
-    return tokenizer.train(word_counts(spark, sf_dir), 200)
+    return tokenizer.train(word_counts(spark, sf_dir), 320)
 
 
 @query()

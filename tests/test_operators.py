@@ -330,3 +330,12 @@ def test_segment_losses_and_helpers(spark):
     assert sorted(r.loss_sum for r in audit.segment_losses(spans, losses).collect()) == [1.5, 9.0]
     assert [r[0] for r in spark.range(1).select(F.size(T.ngrams(F.array(F.lit("a")), 2))).collect()] == [0]
     assert spark.range(1).select(*T.split_key(F.lit("x/y/12"))).first() == ("x/y", 12)
+
+
+def test_tokenizer_counts_every_word(spark):
+    data = [("ab", 3), ("xyz", 1), ("xyw", 1), ("xyv", 1), ("xyu", 1), ("q", 9)]
+    words = spark.createDataFrame(data, "word string, n long").repartition(2)
+    trained = tokenizer.train(words, 6)
+    assert trained.merges[0] == (ord("x"), ord("y")) and trained.merges[1] == (ord("a"), ord("b"))
+    assert tokenizer.train(words, 6, limit=3) == trained  # over the limit words stay distributed
+    assert tokenizer.train(words.limit(0), 6, limit=-1).merges == ()
