@@ -16,7 +16,7 @@ from corpusloom.streaming import control
 ACCEPT, REJECT = 0.56, 0.45  # of the middle stage
 GRAM, OVERLAP = 8, 0.2
 SEQ, BATCH = 128, 8
-STEPS = 10
+STEPS = mixture.STEPS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -434,17 +434,14 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def control_events(spark: SparkSession, sf_dir: str, last_step: int = STEPS, state: str | None = None) -> DataFrame:
     facts = packing.with_order(lanes.facts(spark, sf_dir))
-    return control.run_batch(facts, _flags(spark, sf_dir), small_plan(spark), last_step, state, SMALL_LANES)
+    return control.run_batch(facts, _flags(spark, sf_dir), mixture.compile_rows(), last_step, state)
 
 
-#: The driver's tables hold few conversations at small scale: floors and budgets stay, the batch is the default one.
-SMALL_LANES = mixture.LANES
-
-
-def small_plan(spark: SparkSession) -> list[tuple]:
-    """A plan of STEPS steps in the default proportions; conversations, which are few, get their floor."""
-    stages = [mixture.Stage("warmup", 1, 4, {"web": 0.625, "code": 0.25, "instruct": 0.125}, 0.50, 0.45), mixture.Stage("main", 5, STEPS, {"web": 0.5, "code": 0.375, "instruct": 0.125}, 0.56, 0.45)]
-    return mixture.compile_rows(stages, SMALL_LANES, BATCH, STEPS)
+def ended(events: DataFrame) -> tuple[int, str | None]:
+    """The last step that a run has finished, and why it went no further than that (None: the plan ends there)."""
+    last = events.where("kind = 'state'").agg(F.max("step")).first()[0] or 0
+    found = control.unfold(events, "exhausted").first()
+    return last, found["reason"] if found else None
 
 
 @query()
@@ -462,7 +459,10 @@ def control_plane_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """check, passed, violations over a run's decisions, spans and lane reports."""
     events = control_events(spark, sf_dir).persist()
     facts, flags = lanes.facts(spark, sf_dir), _flags(spark, sf_dir)
-    found = audit.run_audit(run_checks(spark, events, facts, flags, small_plan(spark), STEPS))
+    last, reason = ended(events)
+    checks = run_checks(spark, events, facts, flags, [r for r in mixture.compile_rows() if r[0] <= last], last)
+    unexplained = spark.range(last + 1, STEPS + 1) if reason is None else spark.range(0)
+    found = audit.run_audit(checks | {"ends_with_the_plan_or_exhausted": unexplained})
     events.unpersist()
     return spark.createDataFrame(found, "check string, passed boolean, violations long")
 
@@ -471,7 +471,7 @@ def run_checks(spark: SparkSession, events: DataFrame, facts: DataFrame, flags:
     plan = spark.createDataFrame(plan_rows, mixture.PLAN_SCHEMA)
     decisions, spans, report = (control.unfold(events, k) for k in ("decision", "span", "lane"))
     admitted = decisions.where(F.col("decision").isin(*audit.ADMITTED))
-    protected = [x.name for x in SMALL_LANES if x.protected]
+    protected = [x.name for x in mixture.LANES if x.protected]
     return {
         "every_step_once": audit.missing_steps(report.select("step").distinct(), 1, steps),
         "decisions_follow_from_documents_and_plan": audit.decision_mismatches(decisions, facts, plan, flags, protected),
@@ -488,6 +488,13 @@ def run_checks(spark: SparkSession, events: DataFrame, facts: DataFrame, flags:
     }
 
 
+@query()
+def control_plane_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """planned_steps, last_step, exhausted: why a run on few documents ends before its plan, or null."""
+    last, reason = ended(control_events(spark, sf_dir))
+    return spark.createDataFrame([(STEPS, last, reason)], "planned_steps int, last_step int, exhausted string")
+
+
 @query()
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.decision_counts(control_plane_decisions(spark, sf_dir))
@@ -501,15 +508,16 @@ def decision_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def planned_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = control.unfold(control_events(spark, sf_dir), "lane")
-    return audit.stage_shares(report, spark.createDataFrame(small_plan(spark), mixture.PLAN_SCHEMA))
+    return audit.stage_shares(report, spark.createDataFrame(mixture.compile_rows(), mixture.PLAN_SCHEMA))
 
 
 @query()
 def replay_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows, different: what a run wrote after its middle step, and what a run from the snapshot of that step writes otherwise."""
     whole = control_events(spark, sf_dir).persist()
-    middle = STEPS // 2
-    snapshot = json.loads(whole.where((F.col("kind") == "state") & (F.col("step") == middle)).first()["body"])[2]
+    middle = ended(whole)[0] // 2
+    held = whole.where((F.col("kind") == "state") & (F.col("step") == middle)).first()
+    snapshot = json.loads(held["body"])[2] if held else None
     later = whole.where(F.col("step") > middle).select("kind", "step", "seq", "body")
     off = audit.differences(later, control_events(spark, sf_dir, state=snapshot).select("kind", "step", "seq", "body"))
     return spark.createDataFrame([(later.count(), off.count())], "rows long, different long")

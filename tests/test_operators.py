@@ -275,6 +275,18 @@ def test_control_plane_runs_out():
         _run(control.ControlPlane({k: v[:5] for k, v in _sources().items()}), steps, 1, 20)
 
 
+def test_control_plane_runs_the_whole_plan_or_reports_its_end(spark):
+    assert queries.STEPS == 80 and {r[1] for r in mixture.compile_rows()} == {"warmup", "main", "anneal"}
+    rows = [(k, lane, "train", i, n, q / 10000, c) for lane, docs in _sources().items() for i, (k, n, q, c, _) in enumerate(docs[:60])]
+    facts = spark.createDataFrame(rows, "doc_key string, lane string, split string, order_key int, n_tokens int, quality double, content_sha256 string")
+    flags = spark.createDataFrame([], "doc_key string, flag string")
+    events = control.run_batch(facts, flags, mixture.compile_rows(), queries.STEPS).persist()
+    last, reason = queries.ended(events)
+    assert 0 < last < 80 and "lane" in reason
+    assert control.unfold(events, "exhausted").first()["step"] == last + 1
+    assert {r.step for r in control.unfold(events, "lane").collect()} == set(range(1, last + 1))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows, sources = mixture.compile_rows(), _sources()
     want = _run(control.ControlPlane(sources), control.steps_of(rows), 1, 6)
