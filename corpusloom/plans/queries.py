@@ -491,7 +491,9 @@ def run_checks(spark: SparkSession, events: DataFrame, facts: DataFrame, flags:
 @query()
 def control_plane_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """planned_steps, last_step, exhausted: why a run on few documents ends before its plan, or null."""
-    last, reason = ended(control_events(spark, sf_dir))
+    events = control_events(spark, sf_dir).persist()
+    last, reason = ended(events)
+    events.unpersist()
     return spark.createDataFrame([(STEPS, last, reason)], "planned_steps int, last_step int, exhausted string")
 
 
