@@ -1,30 +1,26 @@
-"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them.
-
-Lines are cut at line feeds and compared stripped of ASCII white space; blank lines never count. A line with at least
-MIN_CHARS characters that two documents or more hold is shared; in a document, a shared line is rare if no other of
-its shared lines within REACH of it is in fewer documents (ties: the smaller hash), so each stretch of shared lines
-proposes its rarest ones and boilerplate proposes only where nothing rarer stands beside it.
-
-A rare line leads a document to one earlier document that holds it: the line's holders are dealt into SALTS groups by
-hash; in its group a document's partner is the group's least id, and a least one's partner is the least id of
-all. So a line of n holders gives n - 1 pairs, not n squared, whatever n is, and no partner is asked by more than a
-share of them.
-
-With complete=True, as the query asks, the outcome is that of an alignment with every earlier document. Seeds are the
-runs that any long enough block is made of: MIN_LINES lines, or fewer of BLOCK_CHARS characters. A seed of which a line
-still stands is open. Documents are aligned with the least holder of each open seed (of its k-th copy in a document: also
-with the least that holds k), and, where it is open after that, with all its earlier holders of different lines. A document
-left out shares no open seed, so it could delete nothing more. The last pass is quadratic in the holders of seeds that stay
-open: passages in another order, or repeated more often, than where they stand first.
-
-Each pair is aligned by patience diff: lines that stand once in both documents are matched in order by a longest increasing
-sequence, matches grow over equal neighbours, and the gaps between them are aligned in the same way; a gap without such a
-line is aligned by a longest common subsequence. Aligned blocks of at least MIN_LINES lines or BLOCK_CHARS characters
-are deleted from the later document. A document's deletions are judged on the inputs and joined over its partners.
-
-What moves: (hash, document) of each line, then the lines' hashes of paired documents; texts themselves move once, to
-the deletions of their document. Null or empty text: no lines. Rows without an id have no order and are left alone. Rows that
-repeat an id are told apart by text and never align with each other. Empty tables give empty results.
+"""Line dedup by pairwise alignment: shared rare line hashes find overlapping documents, patience diff aligns them.
+
+Lines are cut at line feeds and compared stripped of ASCII white space; a blank line never counts. A key is a run of lines
+that is long enough to be deleted by itself: MIN_LINES lines, or fewer of BLOCK_CHARS bytes. Any long enough common block of
+two documents is a union of keys that both hold, so documents without a common key have nothing to align.
+
+Pairs: a key counts for the earliest document that holds it. A later document is paired with the earliest holder of each of its
+keys, those of its rarest key first (the key that fewest texts hold), and with the next one only for lines that still stand.
+So a key of n holders gives n - 1 pairs and not n squared, however frequent it is, and no partner is left out: whatever an
+alignment with some other earlier document would delete is made of keys whose earliest holders are partners too.
+
+Alignment: keys that stand once in both documents of a pair are matched in order, by a longest increasing sequence of their
+places (patience diff); neighbours on one diagonal grow together to blocks. Common keys that the chain leaves out, as they stand
+in another order or more often than once, are aligned afterwards, each with its first place in the partner, as moved blocks.
+Aligned blocks are deleted from the later document. So a line goes if and only if it lies in a long enough run of lines that
+stands in a document with a smaller id; deletions are judged on the inputs.
+
+Equal texts are one text, held by the smallest id; its later copies align with it line by line, so a group of copies costs a row each.
+What moves: keys (a hash, two numbers), then per text its keys' partners; the text itself moves once, to its deletions, by a
+join that shuffles at every size. Nothing is broadcast but what Spark's own size check allows.
+
+Null or empty text: no lines. Rows without an id have no order and are left alone. Rows that repeat an id are told apart by
+text and never align with each other. Empty tables give empty results. Only the named id and text columns are read.
 """
 
 from __future__ import annotations
@@ -42,10 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_rows, materialize, table, utf8
 
-MIN_CHARS, REACH, SALTS = 10, 4, 64
 MIN_LINES, BLOCK_CHARS = 3, 40
-#: Bits of an LCS table held at once.
-LCS_BITS = 1 << 28
 _BLANK = b" \t\r\x0b\x0c"
 
 
@@ -56,21 +49,25 @@ def line_hashes(data: bytes) -> tuple[list[int], list[int]]:
     return hashes, list(map(len, stripped))
 
 
-def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Lines that stand once in both, in order: a longest increasing sequence of their places."""
+def keys_of(hashes: list[int], sizes: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(first, end, hash) of the runs that every long enough block is a union of."""
+    raw = np.array(hashes, "<i8").tobytes()
+    for i in range(len(hashes)):
+        weight = 0
+        for end in range(i + 1, min(i + MIN_LINES, len(hashes)) + 1):
+            if not hashes[end - 1]:
+                break
+            weight += sizes[end - 1]
+            if end - i == MIN_LINES or weight >= BLOCK_CHARS:
+                yield i, end, xxhash.xxh64_intdigest(raw[8 * i : 8 * end]) - (1 << 63)
 
-    def once(x: list[int]) -> dict[int, int | None]:
-        seen: dict[int, int | None] = {}
-        for i, h in enumerate(x):
-            seen[h] = None if h in seen else i
-        return seen
 
-    in_a, in_b = once(a), once(b)
-    pairs = [(i, j) for h, i in in_a.items() if h and i is not None and (j := in_b.get(h)) is not None]
+def patience(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest chain of points (place in the earlier document, place in the later) in which both increase."""
     tails: list[int] = []
-    nodes: list[tuple[int, int, int | None]] = []
     ends: list[int] = []
-    for i, j in sorted(pairs):
+    nodes: list[tuple[int, int, int | None]] = []
+    for i, j in sorted(points, key=lambda p: (p[0], -p[1])):
         k = bisect.bisect_left(tails, j)
         nodes.append((i, j, ends[k - 1] if k else None))
         if k == len(tails):
@@ -86,234 +83,151 @@ def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
-    """Bit rows of the LCS table, the last one alone unless keep: bit j of row i is 0 where b's first j + 1 lines add one to its first j's."""
-    masks: dict[int, int] = {}
-    for j, h in enumerate(b):
-        masks[h] = masks.get(h, 0) | 1 << j
-    full = row = (1 << len(b)) - 1
-    rows = [row]
-    for h in a:
-        hit = row & masks.get(h, 0)
-        row = (row + hit | row - hit) & full
-        if keep:
-            rows.append(row)
-        else:
-            rows[0] = row
-    return rows
-
-
-def _lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; ties go to the last places, and to unbroken runs."""
-    if not a or not b:
-        return []
-    if len(a) > 1 and len(a) * len(b) > LCS_BITS:  # Hirschberg: halves, so that no table of all rows is held
-        half, m = len(a) // 2, len(b)
-
-        def grown(row: int) -> list[int]:
-            out = [0]
-            for bit in reversed(bin(row | 1 << m)[3:]):
-                out.append(out[-1] + (bit == "0"))
-            return out
-
-        head, tail = grown(_rows(a[:half], b, False)[0]), grown(_rows(a[half:][::-1], b[::-1], False)[0])
-        cut = max(range(m + 1), key=lambda j: (head[j] + tail[m - j], j))
-        return _lcs(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _lcs(a[half:], b[cut:])]
-    rows, i, j = _rows(a, b, True), len(a), len(b)
-    out: list[tuple[int, int]] = []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif rows[i] >> (j - 1) & 1:
-            j -= 1
+def grown(matched: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(place in the earlier, place in the later, lines) of matched keys; those that touch on one diagonal are one block."""
+    out: list[list[int]] = []
+    for i, j, n in sorted(matched, key=lambda m: (m[1] - m[0], m[1])):
+        if out and out[-1][1] - out[-1][0] == j - i and j <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], j + n - out[-1][1])
         else:
-            i -= 1
-    return out[::-1]
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) of two sequences of hashes, both increasing; 0 aligns with nothing."""
-    out: list[tuple[int, int]] = []
-    gaps = [(0, len(a), 0, len(b), False, False)]  # the last two: an aligned line stands before, after the gap
-    while gaps:
-        i, end_i, j, end_j, before, after = gaps.pop()
-        while before and i < end_i and j < end_j and a[i] and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while after and i < end_i and j < end_j and a[end_i - 1] and a[end_i - 1] == b[end_j - 1]:
-            end_i, end_j = end_i - 1, end_j - 1
-            out.append((end_i, end_j))
-        if i == end_i or j == end_j:
-            continue
-        chain = [(i + x, j + y) for x, y in _anchors(a[i:end_i], b[j:end_j])]
-        if chain:
-            out += chain
-            starts, stops = [(i - 1, j - 1), *chain], [*chain, (end_i, end_j)]
-            gaps += [(x + 1, u, y + 1, v, n > 0 or before, n < len(chain) or after) for n, ((x, y), (u, v)) in enumerate(zip(starts, stops))]
-            continue
-        both = set(a[i:end_i]) & set(b[j:end_j]) - {0}
-        xs, ys = [x for x in range(i, end_i) if a[x] in both], [y for y in range(j, end_j) if b[y] in both]
-        out += [(xs[x], ys[y]) for x, y in _lcs([a[x] for x in xs], [b[y] for y in ys])]
-    return sorted(out)
-
-
-def blocks(pairs: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Places in the second sequence of aligned blocks that are long enough."""
-    out: list[int] = []
-    run: list[int] = []
-    last = None
-    for i, j in [*pairs, (-9, -9)]:
-        if last is not None and (i, j) == (last[0] + 1, last[1] + 1):
-            run.append(j)
-        else:
-            if run and (len(run) >= MIN_LINES or sum(sizes[x] for x in run) >= BLOCK_CHARS):
-                out += run
-            run = [j]
-        last = (i, j)
-    return out
-
-
-def _rare(df_by_line: list[int | None], hashes: list[int]) -> list[int]:
-    """Places of the rare shared lines; None: not shared."""
-    out = []
-    for i, n in enumerate(df_by_line):
-        if n is None:
-            continue
-        near = range(max(0, i - REACH), min(len(hashes), i + REACH + 1))
-        if all(df_by_line[k] is None or (n, hashes[i]) <= (df_by_line[k], hashes[k]) for k in near):
-            out.append(i)
+            out.append([i, j, n])
+    return [(i, j, n) for i, j, n in sorted(out, key=lambda b: b[1])]
+
+
+def align(hashes: list[int], sizes: list[int], held: dict[int, tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+    """held: key -> earliest holder, first place there, times there, texts that hold it. Blocks (earlier, place there, place here, lines, moved)."""
+    own = [k for k in keys_of(hashes, sizes) if k[2] in held]
+    times = Counter(k[2] for k in own)
+    partners: dict[int, list[tuple[int, int, int]]] = {}
+    for k in sorted(own, key=lambda k: (held[k[2]][3], held[k[2]][0], k[0])):
+        partners.setdefault(held[k[2]][0], []).append(k)
+    out, gone = [], bytearray(len(hashes))
+    for earlier, common in partners.items():
+        standing = [k for k in common if not all(gone[k[0] : k[1]])]
+        once = {(held[h][1], j, end - j) for j, end, h in standing if times[h] == 1 and held[h][2] == 1}
+        chain = set(patience([(i, j) for i, j, _ in once]))
+        ordered = grown([p for p in once if p[:2] in chain])
+        for _, j, n in ordered:
+            gone[j : j + n] = b"\1" * n
+        moved = grown([(held[h][1], j, end - j) for j, end, h in standing if not all(gone[j:end])])
+        for _, j, n in moved:
+            gone[j : j + n] = b"\1" * n
+        out += [(earlier, *b, False) for b in ordered] + [(earlier, *b, True) for b in moved]
     return out
 
 
-def _aligned(pairs: DataFrame, listed: DataFrame) -> DataFrame:
-    """pairs: doc_id, row, earlier. doc_id, row, places that a pair deletes."""
-    # a partner's lines come to each pair, then the later document's own; ids are unique or told apart by row
-    with_earlier = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a")), "earlier")
-    both = with_earlier.join(listed.select("doc_id", "row", "hashes", "sizes"), ["doc_id", "row"]).select("doc_id", "row", "a", "hashes", "sizes")
+def runs(hashes: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
+    """The blocks of a text aligned with its copy."""
+    return grown([(j, j, end - j) for j, end, _ in keys_of(hashes, sizes)])
 
-    def aligned(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, row, a, b, sizes in rows:
-            found = blocks(patience(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()), np.frombuffer(sizes, "<u4").tolist())
-            if found:
-                yield key, row, found
 
-    hit_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("places", pa.list_(pa.int32()))])
-    return map_rows(both, aligned, "doc_id long, row long, places array<int>", hit_schema)
+_BLOCK = pa.struct([("earlier", pa.int64()), ("at_earlier", pa.int32()), ("at", pa.int32()), ("lines", pa.int32()), ("moved", pa.bool_())])
+_BLOCKS = "blocks array<struct<earlier:bigint,at_earlier:int,at:int,lines:int,moved:boolean>>"
+_FIELDS = ("earlier", "at_earlier", "at", "lines", "moved")
 
 
-def _places(hits: DataFrame) -> DataFrame:
-    return hits.select("doc_id", "row", F.explode("places").alias("place")).distinct().groupBy("doc_id", "row").agg(F.collect_list("place").alias("places"))
+def _unpacked(hashes: bytes, sizes: bytes) -> tuple[list[int], list[int]]:
+    return np.frombuffer(hashes, "<i8").tolist(), np.frombuffer(sizes, "<u4").tolist()
 
 
-def seeds(hashes: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """(first, end) of the runs that every long enough block is a union of."""
-    for i in range(len(hashes)):
-        weight = 0
-        for end in range(i + 1, min(i + MIN_LINES, len(hashes)) + 1):
-            if not hashes[end - 1]:
-                break
-            weight += sizes[end - 1]
-            if end - i == MIN_LINES or weight >= BLOCK_CHARS:
-                yield i, end
-
-
-def _seeded(listed: DataFrame, gone: DataFrame, only_open: bool) -> DataFrame:
-    """doc_id, row, seed, copy (of the seed with its number in the document), first (whether that is 1), open."""
-
-    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, row, hashes, sizes, places in rows:
-            drop, counts = set(places or ()), Counter()
-            for i, end in seeds(np.frombuffer(hashes, "<i8").tolist(), np.frombuffer(sizes, "<u4").tolist()):
-                run = hashes[8 * i : 8 * end]
-                counts[run] += 1
-                left = not all(x in drop for x in range(i, end))
-                if left or not only_open:
-                    seed = xxhash.xxh64_intdigest(run) - (1 << 63)
-                    copy = seed if counts[run] == 1 else xxhash.xxh64_intdigest(run, counts[run]) - (1 << 63)
-                    yield key, row, seed, copy, counts[run] == 1, left
-
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("seed", pa.int64()), ("copy", pa.int64()), ("first", pa.bool_()), ("open", pa.bool_())])
-    rows = listed.join(gone, ["doc_id", "row"], "left").select("doc_id", "row", "hashes", "sizes", "places")
-    return map_rows(rows, each, "doc_id long, row long, seed long, copy long, first boolean, open boolean", schema)
-
-
-def _complete(listed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, row, places that an alignment with all earlier documents deletes; pairs: those to begin with."""
-    gone = materialize(_places(_aligned(pairs, listed)), "lines-gone")
-    held = materialize(_seeded(listed, gone, False), "lines-seeds")
-    least = materialize(held.groupBy("copy").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("copy", "least"), "lines-least")
-    wanted = held.where("open").select("doc_id", "row", F.explode(F.array_distinct(F.array("seed", "copy"))).alias("copy"))
-    earlier = materialize(wanted.join(least, "copy").where("least < doc_id").select("doc_id", "row", F.col("least").alias("earlier")).distinct(), "lines-earlier")
-    second = materialize(earlier.join(pairs, ["doc_id", "row", "earlier"], "left_anti"), "lines-second")
-    gone = materialize(_places(_aligned(second, listed).unionAll(gone)), "lines-gone")
-
-    todo = listed.join(earlier.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")  # of the others nothing is open
-    tried = pairs.unionAll(second)
-    still = _seeded(todo, gone, True).select("doc_id", "row", "seed").distinct()
-    holders = held.where("first").groupBy("seed", F.col("row").alias("lines")).agg(F.min("doc_id").alias("earlier"))
-    earlier = still.join(holders, "seed").where("earlier < doc_id").select("doc_id", "row", "earlier").distinct()
-    third = materialize(earlier.join(tried, ["doc_id", "row", "earlier"], "left_anti"), "lines-third")
-    return materialize(_places(_aligned(third, listed).unionAll(gone)), "lines-gone")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, complete: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256, with_text also kept_text; one row per input row. complete: against all earlier documents, not the rare lines' partners alone."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).withColumn("row", F.xxhash64("data")).select("doc_id", "row", "data")
-    known = source.where("doc_id is not null")
+def _texts(known: DataFrame) -> DataFrame:
+    """doc_id (the smallest that holds the text), row, hashes, sizes of each distinct text."""
 
     def hashed(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, row, data in rows:
+        for key, row, sha, data in rows:
             hashes, sizes = line_hashes(data)
-            yield key, row, np.array(hashes, "<i8").tobytes(), np.array(sizes, "<u4").tobytes()
+            yield key, row, sha, np.array(hashes, "<i8").tobytes(), np.array(sizes, "<u4").tobytes()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("hashes", pa.binary()), ("sizes", pa.binary())])
+    listed = map_rows(known.select("doc_id", "row", F.sha2("data", 256).alias("sha"), "data"), hashed, "doc_id long, row long, sha string, hashes binary, sizes binary", schema)
+    return materialize(listed.groupBy("sha", "row").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes")), "lines-texts")
 
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary())])
-    listed = materialize(map_rows(known, hashed, "doc_id long, row long, hashes binary, sizes binary", schema).distinct(), "lines-hashes")
 
-    def exploded(rows: Iterator[tuple]) -> Iterator[tuple]:
+def _blocks(texts: DataFrame) -> DataFrame:
+    """doc_id, row, blocks of the distinct texts that share a key with an earlier one."""
+
+    def listed(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, row, hashes, sizes in rows:
-            seen: set[int] = set()
-            for at, (h, n) in enumerate(zip(np.frombuffer(hashes, "<i8").tolist(), np.frombuffer(sizes, "<u4").tolist())):
-                if h and n >= MIN_CHARS and h not in seen:
-                    seen.add(h)
-                    yield key, row, at, h
-
-    line_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("line", pa.int64())])
-    lines = map_rows(listed, exploded, "doc_id long, row long, at int, line long", line_schema)
-    shared = materialize(lines.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("top"), F.max("doc_id").alias("bottom")).where("top < bottom").select("line", "df", "top"), "lines-shared")
-    marked = lines.join(shared, "line").select("doc_id", "row", F.struct("at", "line", "df", "top").alias("x"))
-    by_doc = marked.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def chosen(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, row, xs in rows:
-            places: dict[int, dict] = {x["at"]: x for x in xs}
-            first, last = xs[0]["at"], xs[-1]["at"]
-            df = [places[i]["df"] if i in places else None for i in range(first, last + 1)]
-            hashes = [places[i]["line"] if i in places else 0 for i in range(first, last + 1)]
-            for i in _rare(df, hashes):
-                yield key, row, hashes[i], places[first + i]["top"]
-
-    rare_schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int64()), ("top", pa.int64())])
-    rare = materialize(map_rows(by_doc, chosen, "doc_id long, row long, line long, top long", rare_schema), "lines-rare")
-    salt = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).alias("salt")
-    heads = materialize(rare.groupBy("line", salt).agg(F.min("doc_id").alias("head")), "lines-heads")
-    pairs = rare.select("doc_id", "row", "line", "top", salt).join(heads, ["line", "salt"]).select("doc_id", "row", F.when(F.col("head") < F.col("doc_id"), F.col("head")).otherwise(F.col("top")).alias("earlier")).where("earlier < doc_id").distinct()
-    if complete:
-        gone = _complete(listed, materialize(pairs, "lines-pairs"))
-    else:
-        gone = materialize(_places(_aligned(pairs, listed)), "lines-gone")
-    joined = source.join(gone, ["doc_id", "row"], "left").select("doc_id", "data", "places")
+            first: dict[int, int] = {}
+            times: Counter = Counter()
+            for at, _, h in keys_of(*_unpacked(hashes, sizes)):
+                first.setdefault(h, at)
+                times[h] += 1
+            for h, at in first.items():
+                yield h, key, row, at, times[h]
+
+    key_schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("times", pa.int32())])
+    keys = map_rows(texts.select("doc_id", "row", "hashes", "sizes"), listed, "key long, doc_id long, row long, at int, times int", key_schema)
+    holder = F.min(F.struct("doc_id", "at", "times"))
+    shared = keys.groupBy("key").agg(holder.alias("h"), F.max("doc_id").alias("last"), F.count("*").alias("texts")).where("h.doc_id < last").select("key", F.col("h.doc_id").alias("earlier"), F.col("h.at").alias("at"), F.col("h.times").alias("times"), "texts")
+    # the earliest holders of all shared keys, with the keys' rarity; a frequent key is a row here, and one in each text
+    shared = materialize(shared, "lines-shared")
+    held = keys.select("key", "doc_id", "row").join(shared, "key").where("earlier < doc_id")
+    by_text = held.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "earlier", "at", "times", "texts")).alias("held"))
+
+    def aligned(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, row, hashes, sizes, found in rows:
+            held = {x["key"]: (x["earlier"], x["at"], x["times"], x["texts"]) for x in found}
+            yield key, row, [dict(zip(_FIELDS, b)) for b in align(*_unpacked(hashes, sizes), held)]
+
+    both = by_text.join(texts.select("doc_id", "row", "hashes", "sizes"), ["doc_id", "row"]).select("doc_id", "row", "hashes", "sizes", "held")
+    return map_rows(both, aligned, f"doc_id long, row long, {_BLOCKS}", pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("blocks", pa.list_(_BLOCK))]))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256, blocks, with_text also kept_text; one row per input row.
+
+    blocks: the aligned ones in the order of partners, with the earlier document, the place there and here (lines, from 0), the
+    length, and whether the block was moved. A copy of a whole text has the blocks of the alignment with its smallest holder alone.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).withColumn("row", F.xxhash64("data")).select("doc_id", "row", "data")
+    texts = _texts(source.where("doc_id is not null"))
+    found = _blocks(texts).select("doc_id", "row", "blocks", F.lit(None).cast("long").alias("original"))
+    # a copy of its text's smallest holder: rows of (row, sha) with other ids
+    groups = texts.where("doc_id < last").select("sha", "row", F.col("doc_id").alias("original"))
+    ids = source.where("doc_id is not null").select("doc_id", "row", F.sha2("data", 256).alias("sha"))
+    copies = ids.join(groups, ["sha", "row"]).where("original < doc_id").select("doc_id", "row", F.lit(None).cast(found.schema["blocks"].dataType).alias("blocks"), "original").distinct()
+    gone = materialize(found.unionByName(copies), "lines-gone")
+    joined = source.join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "data", "blocks", "original")
 
     def kept(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, data, places in rows:
-            lines, drop = data.split(b"\n") if data else [], set(places or ())
+        for key, data, blocks, original in rows:
+            lines, drop = data.split(b"\n") if data else [], set()
+            if original is not None:
+                blocks = [dict(zip(_FIELDS, (original, *b, False))) for b in runs(*line_hashes(data))]
+            for b in blocks or ():
+                drop.update(range(b["at"], b["at"] + b["lines"]))
             text = b"\n".join([x for i, x in enumerate(lines) if i not in drop])
-            out = key, len(lines), len(drop), hashlib.sha256(text).hexdigest()
+            out = key, len(lines), len(drop), hashlib.sha256(text).hexdigest(), blocks or []
             yield (*out, text.decode("utf-8", "replace")) if with_text else out
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
-    return map_rows(joined, kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text, arrow)
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("blocks", pa.list_(_BLOCK))] + [("kept_text", pa.string())] * with_text)
+    return map_rows(joined, kept, f"doc_id long, n_lines long, n_removed long, kept_sha256 string, {_BLOCKS}" + ", kept_text string" * with_text, arrow)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), complete=True)
+    return deduplicate(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+#: What the alignments amount to: a line goes if it lies in a run of three lines, or of 40 bytes, that an earlier document holds.
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE coalesce(text, '') <> ''
+), s AS (
+  SELECT doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS a FROM l
+), n AS (
+  SELECT *, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), keys AS (
+  SELECT doc_id, i, 1 AS n, a AS k FROM n WHERE strlen(a) >= 40
+  UNION ALL SELECT doc_id, i, 2, a || chr(10) || b FROM n WHERE a <> '' AND b <> '' AND strlen(a) + strlen(b) >= 40
+  UNION ALL SELECT doc_id, i, 3, a || chr(10) || b || chr(10) || c FROM n WHERE a <> '' AND b <> '' AND c <> ''
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, n)) AS i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS earlier FROM keys) WHERE earlier < doc_id
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY s.i) FILTER (WHERE g.i IS NULL), '') AS t
+  FROM s LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""

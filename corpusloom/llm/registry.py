@@ -19,4 +19,5 @@ QUERIES: dict = {
 ORACLES: dict = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
 }

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-from collections import defaultdict
 
 from corpusloom.llm import licenses, lines
 from tests.llm.cases import SCHEMA, rows
@@ -72,80 +71,45 @@ def test_licenses_of_the_documents(spark, small):
             assert sorted((m["license"], m["start"], m["end"], m["coverage"]) for m in r.matches) == _every_diagonal(text[r.doc_id][-900:], index) or len(text[r.doc_id]) > 900
 
 
-def test_patience():
-    a, b = [1, 2, 3, 4, 5, 6], [9, 1, 2, 3, 7, 4, 5, 5, 6]
-    pairs = lines.patience(a, b)
-    assert [x for x in pairs if x[0] in (0, 1, 2, 3, 5)] == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 8)]
-    assert lines.patience([1, 1, 2, 0], [1, 1, 2, 0]) == [(0, 0), (1, 1), (2, 2)]
-    r = random.Random(3)
-    for _ in range(200):
-        a, b = ([r.randint(0, 9) for _ in range(r.randint(0, 12))] for _ in range(2))
-        pairs = lines.patience(a, b)
-        assert all(a[i] == b[j] != 0 for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-
-
-def _lcs_length(a, b):
-    best = [0] * (len(b) + 1)
-    for x in a:
-        last = best
-        best = [0]
-        for j, y in enumerate(b):
-            best.append(last[j] + 1 if x == y != 0 else max(best[j], last[j + 1]))
-    return best[-1]
-
-
-def test_patience_of_repeated_lines(monkeypatch):
-    assert len(lines.patience([1, 2, 3, 1, 2, 3], [1, 2, 3])) == 3 and lines.patience([1, 2, 3], [1, 2, 3, 1, 2, 3]) == [(0, 3), (1, 4), (2, 5)]
-    twice = [5, 6, 5, 6, 0, 6]
-    assert lines.patience(twice, twice) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)]
-    # 3 and 4 stand twice in all, and once in the gap between the anchors 1 and 2
-    assert lines.patience([3, 4, 1, 7, 3, 4, 8, 2], [1, 9, 3, 4, 9, 2, 3, 4]) == [(2, 0), (4, 2), (5, 3), (7, 5)]
-    r = random.Random(4)
-    for bits in (1 << 28, 20):
-        monkeypatch.setattr(lines, "LCS_BITS", bits)
-        for _ in range(200):
-            a, b = ([r.choice([1, 2, 3]) for _ in range(r.randint(0, 14))] for _ in range(2))
-            pairs = lines._lcs(a, b)
-            assert len(pairs) == _lcs_length(a, b) and all(a[i] == b[j] for i, j in pairs)
-            a, b = a + a + [0], [0] + b + b  # nothing stands once
-            assert len(lines.patience(a, b)) == _lcs_length(a, b)
+def _lines(text):
+    return [x.strip(" \t\r\x0b\x0c") for x in text.split("\n")] if text else []
 
 
 def _brute(data):
-    """With one salt group a rare line's partner is its least holder."""
-    hashed = [(k, *lines.line_hashes((t or "").encode()), t) for k, t in data]
-    holders = defaultdict(set)
-    for k, h, n, t in hashed:
-        for x, size in zip(h, n):
-            if k is not None and x and size >= lines.MIN_CHARS:
-                holders[x].add((k, t or ""))
-    by_id = defaultdict(set)
-    for k, h, n, t in hashed:
-        by_id[k].add(tuple(h))
+    """Every pair of documents and of lines: common runs of three lines or 40 bytes, without hashes."""
     out = []
-    for k, h, n, t in hashed:
-        gone = set()
-        if k is not None:
-            seen, df = set(), []
-            for x, size in zip(h, n):
-                shared = x and size >= lines.MIN_CHARS and x not in seen and len({i for i, _ in holders[x]}) > 1
-                if x and size >= lines.MIN_CHARS:
-                    seen.add(x)
-                df.append(len(holders[x]) if shared else None)
-            at = [i for i, x in enumerate(df) if x is not None]
-            if at:
-                lo, hi = at[0], at[-1] + 1
-                for i in lines._rare(df[lo:hi], [x if d is not None else 0 for x, d in zip(h[lo:hi], df[lo:hi])]):
-                    top = min(i for i, _ in holders[h[lo + i]])
-                    if top < k:
-                        for other in by_id[top]:
-                            gone.update(lines.blocks(lines.patience(list(other), h), n))
-        parts = (t or "").split("\n") if t else []
+    for key, text in data:
+        own, gone = _lines(text), set()
+        for other, earlier in data:
+            if key is None or other is None or other >= key:
+                continue
+            theirs = _lines(earlier)
+            for i in range(len(theirs)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(theirs) and j + n < len(own) and own[j + n] and theirs[i + n] == own[j + n]:
+                        n += 1
+                    if n >= 3 or sum(len(x.encode()) for x in own[j : j + n]) >= 40:
+                        gone.update(range(j, j + n))
+        parts = text.split("\n") if text else []
         kept = "\n".join(x for i, x in enumerate(parts) if i not in gone)
-        out.append((k, len(parts), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((key, len(parts), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
 
 
+def test_patience():
+    assert lines.patience([]) == [] and lines.patience([(0, 5), (1, 3), (2, 4), (3, 9)]) == [(1, 3), (2, 4), (3, 9)]
+    r = random.Random(3)
+    for _ in range(100):
+        points = list({(i, r.randint(0, 12)) for i in range(r.randint(0, 9))})
+        chain = lines.patience(points)
+        assert all(p in points for p in chain) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(chain, chain[1:]))
+        best = [0]
+        for k, p in enumerate(sorted(points)):
+            best.append(1 + max([n for n, q in zip(best[1:], sorted(points)) if q[0] < p[0] and q[1] < p[1]], default=0))
+        assert len(chain) == max(best)
+
+
 def _pages():
     r = random.Random(8)
     boiler = ["Home | About | Contact us", "Copyright by the people who wrote it", "short"]
@@ -159,49 +123,62 @@ def _pages():
     return data + [(100, data[4][1]), data[5], (None, data[5][1]), (101, None), (102, ""), (103, "\n\n\n"), (7, "other text of seven\nHome | About | Contact us"), (104, "\r\n".join(data[3][1].split("\n")))]
 
 
-def test_line_dedup(spark, monkeypatch):
-    data = _pages() + [(3000 + i, r[1]) for i, r in enumerate(rows())]
-    df = spark.createDataFrame([(*x, 5, 6) for x in data], "doc_id long, text string, row int, line int").repartition(3)
-    monkeypatch.setattr(lines, "SALTS", 1)
-    found = lines.deduplicate(df, with_text=True).collect()
-    assert _bag((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in found) == _bag(_brute(data))
-    assert any(r.n_removed for r in found) and lines.deduplicate(df.limit(0)).count() == 0
+def _mixed():
+    r = random.Random(9)
+    few = [f"line {c} of few" for c in "LMNOPQ"] + ["a line that is long enough to be a block alone", "", "x"]
+    mixed = [(5000 + i, "\n".join(r.choice(few) for _ in range(r.randint(1, 12)))) for i in range(60)]
+    block = "line with L alone\nline with M alone\nline with N alone"
+    alone = [(4000 + i, f"own {i}\n{x}\nend {i}") for i, x in enumerate([*block.split("\n"), block, block])]
+    # another order, and more copies than the earliest holder has
+    moved = [(1, "B1\nB2\nB3\nA1\nA2\nA3\nA4"), (2, "A1\nA2\nA3\nA4\nown\nB1\nB2\nB3"), (3, "A1\nA2\nA3\nA4\nB1\nB2\nB3"), (4, "B1\nB2\nB3\nz\nB1\nB2\nB3"), (5, "B1\nB2\nB3\ny\nB1\nB2\nB3")]
+    return mixed + alone + [(8000 + i, t) for i, t in moved]
+
+
+def test_line_dedup(spark, tmp_path):
+    data = _pages() + _mixed() + [(3000 + i, r[1]) for i, r in enumerate(rows()) if len(r[1] or "") < 5000] + [(4004, None), (8003, "B1\nB2\nB3\nA1")]
+    df = spark.createDataFrame([(*x, 5, 6, 7) for x in data], "doc_id long, text string, row int, key int, blocks int").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(x) for x in lines.op7_line_dedup(spark, str(tmp_path)).collect()]
+    assert _bag(found) == _bag(_brute(data)) and {x[:3] for x in found} >= {(4004, 5, 3), (8002, 8, 7), (8004, 7, 6)}
+    assert lines.deduplicate(df.limit(0)).count() == 0
+
+
+def test_line_dedup_blocks(spark):
+    """Blocks are equal lines of the earlier document; those that are not moved run the same way in both."""
+    data = dict(_mixed())
+    found = lines.deduplicate(spark.createDataFrame(list(data.items()), "doc_id long, text string")).collect()
+    seen = 0
+    for r in found:
+        for b in r.blocks:
+            own, theirs = _lines(data[r.doc_id]), _lines(data[b.earlier])
+            assert b.earlier < r.doc_id and own[b["at"] : b["at"] + b.lines] == theirs[b.at_earlier : b.at_earlier + b.lines]
+            seen += 1
+        for partner in {b.earlier for b in r.blocks}:
+            straight = sorted((b["at"], b.at_earlier) for b in r.blocks if b.earlier == partner and not b.moved)
+            assert straight == sorted(straight, key=lambda x: x[1])
+    by_id = {r.doc_id: r.blocks for r in found}
+    assert seen > 20 and sorted((b.at_earlier, b["at"], b.lines, b.moved) for b in by_id[8002]) == [(0, 5, 3, True), (3, 0, 4, False)]
+
+
+def test_line_dedup_of_single_holders(spark):
+    """Six lines that two documents share, each held by one earlier document of its own."""
+    six = [f"shared {c} line" for c in "abcdef"]
+    data = [(i, f"own {i}\n{six[i]}\nend {i}") for i in range(6)] + [(6, "\n".join(["x", *six])), (7, "\n".join([*six, "y"]))]
+    found = {r.doc_id: r.n_removed for r in lines.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found == {**dict.fromkeys(range(7), 0), 7: 6}
 
 
 def test_line_dedup_of_a_large_group(spark):
     page = "\n".join(f"the same long line number {i}" for i in range(30))
-    data = [(i, f"a title of its own {i}\n{page}\nand an end of its own {i}") for i in range(400)]
+    data = [(i, f"a title of its own {i}\n{page}\nand an end of its own {i}") for i in range(400)] + [(1000 + i, page) for i in range(300)]
     found = lines.deduplicate(spark.createDataFrame(data, "doc_id long, text string"), with_text=True).collect()
-    assert sum(r.n_removed == 30 for r in found) == 399 and all(r.doc_id or not r.n_removed for r in found)
-
+    assert sum(r.n_removed == 30 for r in found) == 699 and all(r.doc_id or not r.n_removed for r in found)
 
-def _brute_of_all(data):
-    """Aligned with every earlier document."""
-    hashed = [(k, *lines.line_hashes((t or "").encode())) for k, t in data]
-    out = []
-    for (k, h, n), (_, t) in zip(hashed, data):
-        gone = set()
-        for other, lines_of, _ in hashed:
-            if k is not None and other is not None and other < k:
-                gone.update(lines.blocks(lines.patience(lines_of, h), n))
-        parts = t.split("\n") if t else []
-        out.append((k, len(parts), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(parts) if i not in gone).encode()).hexdigest()))
-    return out
 
+def test_line_dedup_oracle(spark, small):
+    import duckdb
 
-def test_line_dedup_against_all_earlier_documents(spark, monkeypatch, tmp_path):
-    r = random.Random(9)
-    few = [f"line {c} of few" for c in "LMNOPQ"] + ["a line that is long enough to be a block alone", "", "x"]
-    mixed = [(5000 + i, "\n".join(r.choice(few) for _ in range(r.randint(1, 12)))) for i in range(60)]
-    block = "line with L alone\nline with M alone\nline with N alone"
-    alone = [(4000 + i, f"own {i}\n{x}\nend {i}") for i, x in enumerate([*block.split("\n"), block, block])]
-    data = _pages() + mixed + alone
-    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    found = {tuple(x) for x in lines.op7_line_dedup(spark, str(tmp_path)).collect()}
-    assert found == set(_brute_of_all(data)) and (4004, 5, 3) in {x[:3] for x in found}
-    # a swapped order and a second copy are found with holders that are not the least
-    data = [(1, "B1\nB2\nB3\nA1\nA2\nA3\nA4"), (2, "A1\nA2\nA3\nA4\nown\nB1\nB2\nB3"), (3, "A1\nA2\nA3\nA4\nB1\nB2\nB3"), (4, "B1\nB2\nB3\nz\nB1\nB2\nB3"), (5, "B1\nB2\nB3\ny\nB1\nB2\nB3")]
-    found = lines.deduplicate(spark.createDataFrame(data, "doc_id long, text string"), complete=True).collect()
-    assert {tuple(x) for x in found} == set(_brute_of_all(data)) and {x.doc_id: x.n_removed for x in found}[5] == 6
-    assert lines.deduplicate(df.limit(0), complete=True).count() == 0
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    found = [tuple(r) for r in lines.op7_line_dedup(spark, small).collect()]
+    assert _bag(found) == _bag(con.sql(lines.OP7_SQL).fetchall()) and any(r[2] for r in found)
