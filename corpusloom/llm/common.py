@@ -53,6 +53,28 @@ def utf8(text_col: str):
     return F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
 
 
+def row_key(id_column, text_sha256):
+    """16 bytes that stand for a row's id and whole text (its SHA-256 as hex); a null id is unlike any other."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("-")), text_sha256)))
+
+
+def text_sha256(text_col: str):
+    return F.sha2(utf8(text_col), 256)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores where a column has it already; Spark's names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of at most so many rows or, nearly, bytes of strings and binaries."""
     held: list[tuple] = []

@@ -1,16 +1,18 @@
 """Benchmark decontamination through a distributed positional inverted index. DataFrame functions only.
 
-1. Index: every training token that is a word of some benchmark item is stored as a posting (term, row, position) in the
-   shared folder. A row is a document; its number is its place in the table as it was stored.
-2. Anchors: in each window of an item (10 words, or the whole of a shorter item) the term that the corpus has least
-   often. An occurrence of a window holds its anchor, so postings of anchors, less their offset in the item, give all
-   candidate alignments (item, row, shift).
+1. Index: postings (term, row, position) of training tokens are stored in the shared folder. For exact phrases a token is posted
+   if it stands beside a neighbour that it has in some benchmark item too (or is an item by itself): every word of an
+   occurrence of a window does, and few others do, so the index stays small where training texts share the benchmark's
+   vocabulary. For proximity matches every token that is a benchmark term is posted. A row is named by a digest of its id and text.
+2. Anchors: in each window of an item (10 words, or the whole of a shorter item) the term with the fewest postings. An
+   occurrence of a window holds its anchor, so postings of anchors, less their offset in the item, give all candidate alignments
+   (item, row, shift).
 3. Intersection: an alignment's expected postings (term j at shift + j) meet the index; j's that are there in runs of at
    least a window's length are exact phrase matches. With a smaller `least` share of a window's words the same lists
    give proximity matches.
 
-Nothing is broadcast unless its rows have been counted: the benchmark's terms and anchors up to TERM_LIMIT, candidates'
-rows up to ROW_LIMIT; beyond it Spark joins by shuffle. A term that most documents hold is an anchor only of a window that has no rarer one.
+The plan is the same however many documents there are; they are never broadcast. The benchmark's own tables (terms, neighbours,
+anchors) are broadcast up to TERM_LIMIT counted rows; a larger benchmark is joined by shuffle.
 
 A null text has no words. A null item id is no item. Repeated items of one id count once; repeated documents are rows of
 their own, and identical ones have the same hits. Empty tables give no hits. Only the named id and text columns are read.
@@ -21,15 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, UPPER, materialize, table
+from corpusloom.llm.common import LOWER, UPPER, materialize, row_key, table, text_sha256
 
 WINDOW = 10
 #: In words as they stand; lower-casing A-Z afterwards moves no boundary.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of the benchmark's side up to which it is broadcast; they are short: a term, two numbers.
+#: Rows of the benchmark's side up to which it is broadcast; they are short: a term or two, two numbers.
 TERM_LIMIT = 1_000_000
-#: Rows with a candidate up to which they are broadcast, one number each, to filter the postings.
-ROW_LIMIT = 1_000_000
 
 
 def words(text: str):
@@ -53,31 +53,52 @@ def benchmark_terms(benchmark: DataFrame, id_col: str, text_col: str, window: in
     return numbered.select("item", "item_id", "n", F.least("n", F.lit(window)).alias("w"), F.posexplode("words").alias("j", "term"))
 
 
+def neighbours(items: DataFrame) -> DataFrame:
+    """first, second: terms that stand side by side in an item; second is null for an item of one word."""
+    after = items.select("item", (F.col("j") - 1).alias("j"), F.col("term").alias("second")).where("j >= 0").distinct()
+    pairs = items.join(after, ["item", "j"]).select(F.col("term").alias("first"), "second")
+    return pairs.unionAll(items.where("n = 1").select(F.col("term").alias("first"), F.lit(None).cast("string"))).distinct()
+
+
 def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """docs: row, words. Postings of the benchmark's terms: term_id, row, pos."""
+    """docs: row, words. Postings of all tokens that are terms of the benchmark: term_id, row, pos."""
     tokens = docs.select("row", F.posexplode("words").alias("pos", "word")).select("row", "pos", lowered(F.col("word")).alias("term"))
     return tokens.join(_small(terms, n_terms), "term").select("term_id", "row", "pos")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: float = 1.0) -> DataFrame:
-    """docs with row and n_words; the hits: row, pos, item_id. least: share of a window's words that must stand in their places."""
+def neighbour_index(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """docs: row, words. Postings of tokens beside a neighbour of theirs: term_id, row, pos; a token with two of them may come twice."""
+    two = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))
+    tokens = docs.select("row", F.posexplode(two).alias("pos", "x")).select("row", "pos", lowered(F.col("x.a")).alias("first"), lowered(F.col("x.b")).alias("second"))
+    beside = pairs.where("second is not null").select("first", "second", F.xxhash64("first").alias("one"), F.xxhash64("second").alias("two"))
+    found = tokens.join(_small(beside, n_pairs), ["first", "second"])
+    place = lambda term, at: F.struct(F.col(term).alias("term_id"), (F.col("pos") + at).alias("pos"))
+    both = found.select("row", F.explode(F.array(place("one", 0), place("two", 1))).alias("x")).select("x.term_id", "row", "x.pos")
+    alone = pairs.where("second is null").select("first", F.xxhash64("first").alias("term_id"))
+    if alone.isEmpty():
+        return both
+    single = tokens.select("row", "pos", "first").join(_small(alone, n_pairs), "first").select("term_id", "row", "pos")
+    return both.unionAll(single)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: float = 1.0) -> DataFrame:
+    """docs with row; the hits: row, pos, item_id. least: share of a window's words that must stand in their places."""
     items = materialize(benchmark_terms(benchmark, item_id_col, item_text_col, window), "decon-items")
-    terms = materialize(items.select("term").distinct().select("term", F.xxhash64("term").alias("term_id")), "decon-terms")
-    n_terms = terms.count()
     rows = docs.select("row", words(text_col).alias("words"))
-    postings = materialize(index(rows, terms, n_terms), "decon-index")
+    if least >= 1.0 and window > 1:
+        pairs = materialize(neighbours(items), "decon-pairs")
+        postings = neighbour_index(rows, pairs, pairs.count())
+    else:
+        terms = materialize(items.select("term").distinct().select("term", F.xxhash64("term").alias("term_id")), "decon-terms")
+        postings = index(rows, terms, terms.count())
+    postings = materialize(postings, "decon-index")
     df = materialize(postings.groupBy("term_id").agg(F.count("*").alias("df")), "decon-df")
-    known = items.join(terms, "term").select("item", "item_id", "n", "w", "j", "term_id")
+    known = items.select("item", "item_id", "n", "w", "j", F.xxhash64("term").alias("term_id"))
     counted = materialize(known.join(df, "term_id", "left").select("item", "item_id", "n", "w", "j", "term_id", F.coalesce("df", F.lit(0)).alias("df")), "decon-known")
     anchors = materialize(_anchors(counted, least), "decon-anchors")
-    n_anchors = anchors.count()
-    shifts = postings.join(_small(anchors, n_anchors), "term_id").select("item", "row", (F.col("pos") - F.col("j")).alias("shift")).distinct()
-    shifts = materialize(shifts, "decon-shifts")
-    places = counted.select("item", "n", "w", "j", "term_id")
+    shifts = postings.join(_small(anchors, anchors.count()), "term_id").select("item", "row", (F.col("pos") - F.col("j")).alias("shift")).distinct()
+    places = materialize(counted.select("item", "n", "w", "j", "term_id").distinct(), "decon-places")
     expected = shifts.join(_small(places, places.count()), "item").select("row", (F.col("shift") + F.col("j")).alias("pos"), "term_id", "item", "shift", "j", "w", "n").where("pos >= 0")
-    rows = materialize(shifts.select("row").distinct(), "decon-rows")
-    if rows.count() <= ROW_LIMIT:  # only postings of rows with a candidate are shuffled
-        postings = postings.join(F.broadcast(rows), "row", "left_semi")
     matched = postings.join(expected, ["row", "pos", "term_id"]).select("item", "row", "shift", "j", "w", "n")
     return _runs(matched, least).join(counted.select("item", "item_id").distinct(), "item").select("row", "pos", "item_id").distinct()
 
@@ -95,7 +116,7 @@ def _runs(matched: DataFrame, least: float) -> DataFrame:
     """item, row, pos of matched words that lie in an occurring window."""
     if least >= 1.0:
         same = Window.partitionBy("item", "row", "shift")
-        # identical rows share a key, so that j's come as often as the row does
+        # identical rows share a name and a token may be posted twice, so a j may come more than once
         runs = matched.withColumn("run", F.col("j") - F.dense_rank().over(same.orderBy("j")))
         run = Window.partitionBy("item", "row", "shift", "run")
         long = runs.withColumn("length", F.max("j").over(run) - F.min("j").over(run) + 1)
@@ -107,16 +128,16 @@ def _runs(matched: DataFrame, least: float) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: float = 1.0) -> DataFrame:
-    """row_id, doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per input row."""
-    numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
-    hits = find(numbered, benchmark, id_col, text_col, item_id_col, item_text_col, window, least)
+    """row (its name, as row_key gives it), doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per input row."""
+    numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), text_sha256(text_col)).alias("row"))
+    hits = find(numbered, benchmark, "text", item_id_col, item_text_col, window, least)
     ids = F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string")))
     by_row = hits.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"), ids.alias("items"))
-    sizes = numbered.select("row", "doc_id", F.size(words(text_col)).cast("long").alias("n_words"))
+    sizes = numbered.select("row", "doc_id", F.size(words("text")).cast("long").alias("n_words"))
     joined = sizes.join(materialize(by_row, "decon-hits"), "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        F.col("row").alias("row_id"),
+        "row",
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -127,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 OP4_SQL = r"""

@@ -44,7 +44,7 @@ def _case():
     r = random.Random(2)
     word = lambda: r.choice(["the", "of", "Ünd", "x"] + [f"w{i}" for i in range(30)])
     items = [(i, " ".join(word() for _ in range(r.choice([3, 9, 10, 11, 30])))) for i in range(12)]
-    items += [(100, "the the the the the the the the the the the the"), (101, ""), (102, None), (None, "w1 w2"), (3, "another text of item three"), items[5], (103, "ÉTÉ été")]
+    items += [(100, "the the the the the the the the the the the the"), (101, ""), (102, None), (104, "w7"), (None, "w1 w2"), (3, "another text of item three"), items[5], (103, "ÉTÉ été")]
     data = []
     for i in range(60):
         text = [word() for _ in range(r.randint(0, 25))]
@@ -60,11 +60,10 @@ def _case():
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_decontamination(spark, monkeypatch, least, limit):
     monkeypatch.setattr(decontaminate, "TERM_LIMIT", limit)  # 0: nothing is broadcast
-    monkeypatch.setattr(decontaminate, "ROW_LIMIT", limit)
     data, items = _case()
     docs = spark.createDataFrame([(*x, 1, 2) for x in data], "doc_id long, text string, item_id long, row long").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.contamination(docs, bench, least=least).drop("row_id").collect()
+    found = decontaminate.contamination(docs, bench, least=least).drop("row").collect()
     assert _bag(map(tuple, found)) == _bag(_hits(data, items, least=least))
 
 
@@ -75,7 +74,7 @@ def test_decontamination_of_identical_rows(spark, tmp_path, least):
     data = [(1, leak), (1, leak), (None, leak), (None, leak), (None, leak), (2, leak), (3, "nothing of it"), (3, "nothing of it")]
     docs, items = spark.createDataFrame(data, "doc_id long, text string").repartition(3), [(1, item)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), least=least).drop("row_id").collect()
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), least=least).drop("row").collect()
     assert _bag(map(tuple, found)) == _bag(_hits(data, items, least=least)) and sum(r.n_hit == 12 for r in found) == 6
     if least == 1.0:
         assert [r.doc_id for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()] == [3, 3]
