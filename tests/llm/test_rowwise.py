@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -188,7 +189,9 @@ def test_simhash(spark, docs, small):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_links_find_every_pair(spark):
+@pytest.mark.parametrize("large", [4096, 4])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
     r = np.random.default_rng(5)
     base = r.integers(-(1 << 63), 1 << 63, 40)
     fps = {int(b) for b in base} | {0, -1}
@@ -199,9 +202,41 @@ def test_links_find_every_pair(spark):
                 x ^= 1 << int(bit)
             fps.add(x - (1 << 64) if x >> 63 == 1 else x)
     fps = sorted(x for x in fps if -(1 << 63) <= x < 1 << 63)
-    want = sorted((a, b) for a in fps for b in fps if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 4)
-    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
-    assert sorted(map(tuple, found)) == want and len(want) > 100
+    dense = [(1 << 40) ^ (1 << i) ^ (1 << j) for i in range(11) for j in range(i)] + [(3 << 50) ^ x for x in range(16)]
+    fps = sorted({*fps, *dense})
+    roots = _components([x % (1 << 64) for x in fps])
+    keys = sorted((k, f) for f in fps for k in _keys(f % (1 << 64)))
+    batches = [  # they cut groups
+        pa.record_batch([pa.array([k for k, _ in keys[i : i + 50]]), pa.array([f for _, f in keys[i : i + 50]])], ["key", "fp"])
+        for i in range(0, len(keys), 50)
+    ]
+    edges = [e for b in simhash._edges(iter(batches), 4) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    found = [tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()]
+    assert large == 4 or set(edges) == set(found)
+    at = {f: i for i, f in enumerate(fps)}
+    joined = list(range(len(fps)))
+
+    def root(i):
+        while joined[i] != i:
+            i = joined[i]
+        return i
+
+    for u, v in edges:
+        joined[root(at[u])] = root(at[v])
+    assert all(roots[at[u]] == roots[at[v]] for u, v in edges)
+    same = lambda x: sorted(min(i for i in range(len(x)) if x[i] == y) for y in x)
+    assert same([root(i) for i in range(len(fps))]) == same(roots) and len(set(roots)) > 10
+
+
+def _keys(fp):
+    for side, half in ((0, fp >> 32), (1, fp & 0xFFFFFFFF)):
+        yield from (side << 32 | x for x in (half, *(half ^ 1 << i for i in range(32))))
+
+
+def test_stars_are_fewer_than_members():
+    fps = np.array([(1 << 40) ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(i)], np.uint64)
+    _, members = simhash.stars(fps, 4)
+    assert sum(map(len, members)) == len(fps) - 1
 
 
 def test_components(spark):
@@ -225,8 +260,6 @@ def test_components(spark):
 
 
 def test_bpe_blocks_hold_a_bounded_number_of_words(monkeypatch):
-    import pyarrow as pa
-
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 5)
     lengths = [2, 3, 1, 0, 9, 0, 5, 1]
     batch = pa.record_batch([pa.array(range(8)), pa.array([["w"] * n for n in lengths], pa.list_(pa.string()))], ["doc_id", "words"])
