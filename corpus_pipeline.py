@@ -6,8 +6,13 @@ near        op6: of documents whose fingerprints link the one with the smallest
 benchmark   op4: documents with a passage of a benchmark item go
 tokens      op10: every document is encoded and decoded; this is the pipeline's result
 
-All but the last stage return the columns of documents. A row without an id is judged like any other; of a group it stays
-only if no row of the group has an id. Rows that repeat an id are told apart by their texts. Empty tables pass through.
+All but the last stage return the columns of documents, further columns too, whatever their names; columns that the stages add
+for a while get names that are free. A row without an id is judged like any other; of a group it stays only if no row of the
+group has an id. Rows that repeat an id are told apart by their texts. Where no row has a language, none is learned and the
+language stage drops documents without a letter only. Empty tables pass through.
+
+A stage's decisions are rows of 16 bytes (a digest of id and whole text) that meet the documents in a join by shuffle, the same
+plan at every size; nothing that grows with the documents is broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontaminate, exact_dedup, langid, simhash
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import fresh, materialize, quoted, row_key, table, text_sha256
 
 #: Calibrated score under which a document is in none of the learned languages.
 LEAST_SCORE = 0.5
@@ -24,47 +29,48 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None  # language identification and fingerprints have no SQL form; tests hold run() against brute force
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(langid.training_rows(docs))
-    found = langid.annotate(docs, model, "text", ("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang_pred", "_score")
+def _all(docs: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in docs.columns]
 
 
-#: Rows of dropped documents up to which their keys, one number each, are broadcast; beyond it Spark shuffles.
-KEY_LIMIT = 1_000_000
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but those whose row_key is in gone (one column, row)."""
+    key = fresh(docs.columns, "_key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), text_sha256("text")))
+    return keyed.join(gone.select(F.col("row").alias(key)).hint("shuffle_hash"), key, "left_anti").select(_all(docs))
 
 
-def _without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
-    """docs but those whose key (a column of 64 bits) is in gone (a written table of distinct _key). Texts stay where they are while gone is small."""
-    few = gone.count() <= KEY_LIMIT
-    return docs.withColumn("_key", key).join(F.broadcast(gone) if few else gone, "_key", "left_anti").drop("_key")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(langid.training_rows(docs))
+    pred, score = fresh(docs.columns, "_lang_pred"), fresh(docs.columns, "_score")
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.annotate(docs, model, "text", (pred, score))
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(_all(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(exact_dedup.deduplicate(docs).select("doc_id", "kept", "text_sha256"), "pipeline-found")
-    dropped = materialize(found.where(~F.col("kept")).select(F.xxhash64("doc_id", "text_sha256").alias("_key")).distinct(), "pipeline-exact")
-    several = found.where("kept").groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_sha256").alias("_sha"))
-    several = materialize(several, "pipeline-several")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rest = _without(docs.withColumn("_sha", sha), dropped, F.xxhash64("doc_id", "_sha"))
-    order = [F.col(c).asc_nulls_last() for c in docs.columns]
-    one = rest.join(several, "_sha", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_sha").orderBy(*order))).where("_n = 1")
-    return rest.join(several, "_sha", "left_anti").select(docs.columns).unionAll(one.select(docs.columns))
+    found = exact_dedup.deduplicate(docs).where(~F.col("kept"))
+    dropped = materialize(found.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("row")).distinct(), "pipeline-exact")
+    key, number = fresh(docs.columns, "_key"), fresh(docs.columns, "_number")
+    # rows of one id and text: the first by the other columns stays; equal keys meet once, for this and for the join
+    order = [F.col(quoted(c)).asc_nulls_last() for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), text_sha256("text")))
+    one = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(*order or [F.lit(0)]))).where(F.col(number) == 1)
+    return one.join(dropped.select(F.col("row").alias(key)).hint("merge"), key, "left_anti").select(_all(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(simhash.near_duplicates(docs).select("doc_id", "text_hash", "component"), "pipeline-near")
-    me = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
-    stays = materialize(found.groupBy("component").agg(F.min(me).alias("stays"), F.count("*").alias("n")).where("n > 1").select("component", "stays"), "pipeline-stays")
-    dropped = found.join(stays, "component").where(~me.eqNullSafe(F.col("stays"))).select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct()
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    return _without(docs, materialize(dropped, "pipeline-dropped"), F.xxhash64(F.col("doc_id"), text_hash)).select(docs.columns)
+    found = materialize(simhash.near_duplicates(docs).select("doc_id", "row", "component"), "pipeline-near")
+    me = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    stays = materialize(found.groupBy("component").agg(F.min(me).alias("stays"), F.count("*").alias("n")).where("n > 1").select("component", "stays.c"), "pipeline-stays")
+    dropped = found.join(stays, "component").where("row <> c").select("row").distinct()
+    return _without(docs, materialize(dropped, "pipeline-dropped"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.where("contaminated").select(F.col("row_id").alias("_key")).distinct(), "pipeline-benchmark")
-    return _without(docs, gone, F.xxhash64("doc_id", "text")).select(docs.columns)
+    return _without(docs, materialize(found.where("contaminated").select("row").distinct(), "pipeline-benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
