@@ -29,10 +29,14 @@ def save(spark: SparkSession, path: str, branch: str, step: int, attempt: int, s
     """Refuses a snapshot of a branch and step that is there already. next_*: what the run expects to consume next."""
     if missing := set(PINS) - set(pins):
         raise CheckpointError(f"pins missing: {sorted(missing)}")
-    if any(s["step"] == step for s in listed(spark, path, branch)):
-        raise CheckpointError(f"{branch} has a snapshot of step {step}")
     row = _seal(branch, step, attempt, state, pins, heads, next_step, next_sha256)
-    spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    held = spark.createDataFrame([row], SCHEMA).drop("branch", "step").coalesce(1)
+    try:  # the folder is the snapshot's name, so of two writers one fails
+        held.write.mode("errorifexists").parquet(f"{path}/branch={branch}/step={step}")
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+        raise CheckpointError(f"{branch} has a snapshot of step {step}") from e
 
 
 def listed(spark: SparkSession, path: str, branch: str) -> list:

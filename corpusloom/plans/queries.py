@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,8 +111,11 @@ def _scanned(spark, sf_dir):
     return docs.where("split = 'train'"), held
 
 
-def _flags(spark, sf_dir):
-    return contamination.report(*_scanned(spark, sf_dir), GRAM, OVERLAP, ("web",))
+def _flags(spark, sf_dir, only=None):
+    train, held = _scanned(spark, sf_dir)
+    if only is not None:
+        train = train.join(only.select("doc_key"), "doc_key", "left_semi")
+    return contamination.report(train, held, GRAM, OVERLAP, ("web",))
 
 
 @query(f"WITH {CONTAMINATION_SQL} SELECT doc_key, eval_key FROM matches WHERE eval_key IS NOT NULL")
@@ -432,9 +433,10 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the control plane and what audits derive from it
 
 
-def control_events(spark: SparkSession, sf_dir: str, last_step: int = STEPS, state: str | None = None) -> DataFrame:
+def control_events(spark: SparkSession, sf_dir: str, last_step: int = STEPS, state: str | None = None, snapshots=()) -> DataFrame:
+    """The run of the default plan. Only documents of the run's candidates are scanned for contamination."""
     facts = packing.with_order(lanes.facts(spark, sf_dir))
-    return control.run_batch(facts, _flags(spark, sf_dir), mixture.compile_rows(), last_step, state)
+    return control.run_batch(facts, lambda chosen: _flags(spark, sf_dir, chosen), mixture.compile_rows(), last_step, state, snapshots=snapshots)
 
 
 def ended(events: DataFrame) -> tuple[int, str | None]:
@@ -457,7 +459,7 @@ def control_plane_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def control_plane_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """check, passed, violations over a run's decisions, spans and lane reports."""
-    events = control_events(spark, sf_dir).persist()
+    events = control_events(spark, sf_dir)
     facts, flags = lanes.facts(spark, sf_dir), _flags(spark, sf_dir)
     last, reason = ended(events)
     checks = run_checks(spark, events, facts, flags, [r for r in mixture.compile_rows() if r[0] <= last], last)
@@ -491,7 +493,7 @@ def run_checks(spark: SparkSession, events: DataFrame, facts: DataFrame, flags:
 @query()
 def control_plane_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """planned_steps, last_step, exhausted: why a run on few documents ends before its plan, or null."""
-    events = control_events(spark, sf_dir).persist()
+    events = control_events(spark, sf_dir)
     last, reason = ended(events)
     events.unpersist()
     return spark.createDataFrame([(STEPS, last, reason)], "planned_steps int, last_step int, exhausted string")
@@ -516,10 +518,9 @@ def planned_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def replay_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows, different: what a run wrote after its middle step, and what a run from the snapshot of that step writes otherwise."""
-    whole = control_events(spark, sf_dir).persist()
+    whole = control_events(spark, sf_dir)
     middle = ended(whole)[0] // 2
-    held = whole.where((F.col("kind") == "state") & (F.col("step") == middle)).first()
-    snapshot = json.loads(held["body"])[2] if held else None
+    taken = control.unfold(control_events(spark, sf_dir, middle, snapshots=[middle]), "snapshot").first()
     later = whole.where(F.col("step") > middle).select("kind", "step", "seq", "body")
-    off = audit.differences(later, control_events(spark, sf_dir, state=snapshot).select("kind", "step", "seq", "body"))
+    off = audit.differences(later, control_events(spark, sf_dir, state=taken["state"] if taken else None).select("kind", "step", "seq", "body"))
     return spark.createDataFrame([(later.count(), off.count())], "rows long, different long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.shards import file_hashes
 
 RAW_SCHEMA = "doc_id string, lane string, split string, origin string, content_sha256 string, text string, prompt string, response string"
 SPLITS = ("train", "val", "eval")
@@ -16,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw documents from JSON lines; blank lines are skipped, a line that is no record is an error."""
-    return spark.read.schema(RAW_SCHEMA).option("mode", "FAILFAST").json(path)
-
-
-def write_raw(docs: DataFrame, path: str) -> None:
-    """One folder for each lane and split; refuses to overwrite."""
-    docs.write.partitionBy("lane", "split").json(path)
+    """Raw documents from JSON lines; blank lines are skipped, a line that is no record is an error, a path that is not there is no documents."""
+    try:
+        return spark.read.schema(RAW_SCHEMA).option("mode", "FAILFAST").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], RAW_SCHEMA)
+
+
+def write_raw(docs: DataFrame, path: str) -> DataFrame:
+    """One folder for each lane and split, in order of ids; refuses to overwrite. Returns the files' hashes."""
+    docs.repartition("lane", "split").sortWithinPartitions("lane", "split", "doc_id").write.partitionBy("lane", "split").json(path)
+    return file_hashes(docs.sparkSession, path, "*.json")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

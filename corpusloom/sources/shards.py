@@ -13,11 +13,22 @@ class ShardIntegrityError(RuntimeError):
 
 
 def assign_shards(docs: DataFrame, per_shard: int = SHARD_DOCS) -> DataFrame:
-    """docs (lane, split, doc_key) with shard_id and doc_idx: consecutive documents by key, per_shard to a shard."""
-    order = Window.partitionBy("lane", "split").orderBy("doc_key")
-    numbered = docs.withColumn("_n", F.row_number().over(order) - 1)
-    shard = F.concat_ws("-", "lane", "split", F.lpad(F.floor(F.col("_n") / per_shard).cast("string"), 3, "0"))
-    return numbered.withColumn("shard_id", shard).withColumn("doc_idx", F.pmod("_n", F.lit(per_shard))).drop("_n")
+    """docs (lane, split, doc_key) with shard_id and doc_idx: consecutive documents by a digest of their key, per_shard to a shard.
+
+    Numbers are counted inside 4,096 parts of the digest's order and then over the parts, so no window holds a whole lane. Numbers of
+    more than three digits are written out in full.
+    """
+    digest = F.sha2("doc_key", 256)
+    parted = docs.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 3))
+    inside = Window.partitionBy("lane", "split", "_part").orderBy("_digest", "doc_key")
+    before = Window.partitionBy("lane", "split").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = docs.groupBy("lane", "split", F.substring(digest, 1, 3).alias("_part")).agg(F.count("*").alias("_size"))
+    totals = totals.select("lane", "split", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    local = parted.withColumn("_local", F.row_number().over(inside) - 1)
+    # 16**3 rows a lane and split at most
+    numbered = local.join(F.broadcast(totals), ["lane", "split", "_part"]).withColumn("_n", F.col("_local") + F.col("_before"))
+    shard = F.concat_ws("-", "lane", "split", F.format_string("%03d", F.floor(F.col("_n") / per_shard)))
+    return numbered.withColumn("shard_id", shard).withColumn("doc_idx", F.pmod("_n", F.lit(per_shard))).select(*docs.columns, "shard_id", "doc_idx")
 
 
 def token_digest(tokens):
@@ -42,8 +53,53 @@ def manifest(spark: SparkSession, path: str, tokenizer_sha256: str) -> DataFrame
 
 
 def catalog_digest(manifests: DataFrame) -> DataFrame:
-    pins = F.array_sort(F.collect_list(F.struct("shard_id", "manifest_sha256")))
-    return manifests.agg(F.sha2(F.to_json(pins), 256).alias("catalog_sha256"), F.count("*").alias("num_shards"))
+    """catalog_sha256, num_shards: digests of 256 parts of the pins, then the digest of those, so no row holds them all."""
+    pin = F.struct("shard_id", "manifest_sha256")
+    part = F.substring(F.sha2("shard_id", 256), 1, 2).alias("part")
+    parts = manifests.groupBy(part).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(pin))), 256).alias("sha"), F.count("*").alias("n"))
+    every = F.array_sort(F.collect_list(F.struct("part", "sha")))
+    return parts.agg(F.sha2(F.to_json(every), 256).alias("catalog_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("num_shards"))
+
+
+PINNED = ["shard_id", "lane", "split", "num_docs", "num_tokens", "tokenizer_sha256", "manifest_sha256"]
+
+
+def write_catalog(manifests: DataFrame, path: str) -> str:
+    """Store what pins each shard and the digest of it all, once; returns the digest."""
+    pins = manifests.select(*PINNED)
+    found = catalog_digest(pins)
+    pins.write.mode("errorifexists").parquet(f"{path}/shards")
+    found.coalesce(1).write.mode("errorifexists").json(f"{path}/digest")
+    return found.first()["catalog_sha256"]
+
+
+def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The stored pins, if they are those of the stored digest."""
+    pins = spark.read.parquet(f"{path}/shards")
+    said, found = spark.read.json(f"{path}/digest").first(), catalog_digest(pins).first()
+    if said is None or said["catalog_sha256"] != found["catalog_sha256"]:
+        raise ShardIntegrityError("the catalog is not what its digest says")
+    return pins
+
+
+def pin_mismatches(catalog: DataFrame, manifests: DataFrame) -> DataFrame:
+    """shard_id, what of shards that the catalog and the manifests do not describe alike."""
+    pinned = catalog.select("shard_id", F.struct(*PINNED[1:]).alias("_pinned"))
+    both = pinned.join(manifests.select("shard_id", F.struct(*PINNED[1:]).alias("_found")), "shard_id", "full")
+    what = F.when(F.col("_pinned").isNull(), "not_in_catalog").when(F.col("_found").isNull(), "missing").when(F.col("_pinned") != F.col("_found"), "differs")
+    return both.select("shard_id", what.alias("what")).where("what is not null")
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, bytes, sha256 of the data files under path; each is read whole by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def retokenized_differently(stored: DataFrame, encoded: DataFrame) -> DataFrame:
+    """doc_key of stored documents whose tokens are not those that the raw text gives now. encoded: doc_key, tokens."""
+    again = encoded.select("doc_key", token_digest(F.col("tokens")).alias("_again"))
+    return stored.select("doc_key", "token_sha256").join(again, "doc_key", "left").where("_again is null or _again <> token_sha256").select("doc_key")
 
 
 def shards_where(manifests: DataFrame, **equal: str) -> DataFrame:
