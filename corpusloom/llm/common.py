@@ -3,39 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shared import new_dir
 from corpusloom.functions.shipping import ship
 
 #: ASCII letters only, as the contracts ask; bytes.lower() and this agree.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_OWN: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one for the application."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="corpusloom-")
-    return "file://" + _OWN[context.applicationId]
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, lost executors do not matter, and the planner knows the size."""
     spark = df.sparkSession
