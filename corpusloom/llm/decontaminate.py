@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, UPPER, materialize, row_key, table, text_sha256
 
 WINDOW = 10
-#: In words as they stand; lower-casing A-Z afterwards moves no boundary.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; lower-casing A-Z afterwards moves no boundary.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of the benchmark's side up to which it is broadcast; they are short: a term or two, two numbers.
 TERM_LIMIT = 1_000_000
 
 
 def words(text: str):
     """Words of a text column as they stand: digits, ASCII letters and all that is not ASCII."""
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), "")
 
 
 def lowered(word):

@@ -131,3 +131,23 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
 
 def test_stages_keep_columns_and_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "benchmark", "tokens"]
+
+
+def test_stages_keep_further_columns(spark, tmp_path):
+    """Columns named like those that the stages add, with dots, and equal rows that differ in them only."""
+    names = ["_key", "_KEY_", "_number", "_score", "_lang_pred", "row", "fp", "a.b", "kept", "component", "`x"]
+    data = [(i % 50, t, "en" if i % 2 else "de", "s", 1, *(f"{n}{i % 3}" for n in names)) for i, (_, t, *_) in enumerate(rows())]
+    fields = ["doc_id", "text", "lang", "source", "n_chars", *names]
+    docs = spark.createDataFrame(data, fields)
+    spark.createDataFrame([(1, "alpha Beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = docs.select(fields[:5])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == fields, name
+        assert _bag(tuple(r)[:5] for r in found.collect()) == _bag(map(tuple, stage(spark, plain, str(tmp_path)).collect())), name
+        assert {tuple(map(repr, r)) for r in found.collect()} <= {tuple(map(repr, r)) for r in docs.collect()}
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
