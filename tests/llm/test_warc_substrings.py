@@ -4,9 +4,11 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,9 +107,60 @@ def _repeats(data, window):
     return out
 
 
-def _passages():
-    import random
+def _nodes(strings, window):
+    """Branching common prefixes of all suffixes, by definition: depth in words, and who passes through."""
+    found = {}
+    every = [(k, i, tuple(x[i:])) for k, x in enumerate(strings) for i in range(len(x))]
+    for _, _, a in every:
+        for n in range(1, len(a) + 1):
+            through = [(k, i, s) for k, i, s in every if s[:n] == a[:n]]
+            ended, after = sum(len(s) == n for _, _, s in through), {s[n] for _, _, s in through if len(s) > n}
+            if len(through) > 1 and ended + len(after) > 1:
+                found[a[:n]] = (n + window - 1, sorted((k, i) for k, i, _ in through))
+    return sorted(found.values())
+
+
+def test_subtree():
+    r = random.Random(6)
+    for _ in range(150):
+        strings = list({tuple(r.randint(0, 3) for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 6))})
+        holders = [r.randint(0, 4) for _ in strings]
+        tree = substrings.Subtree([np.array(x, np.uint64) for x in strings], 50)
+        assert sorted(tree.nodes()) == _nodes(strings, 50)
+        depth, earlier = tree.earlier_matches(np.array(holders))
+        at = 0
+        for k, x in enumerate(strings):
+            for i in range(len(x)):
+                best = max((n for j, y in enumerate(strings) if holders[j] < holders[k] for o in range(len(y)) for n in range(1, len(x) - i + 1) if y[o : o + n] == x[i : i + n]), default=0)
+                assert depth[at] == best
+                if best:
+                    assert earlier[at] < holders[k] and any(holders[j] == earlier[at] and y[o : o + best] == x[i : i + best] for j, y in enumerate(strings) for o in range(len(y)))
+                at += 1
+
+
+def test_repeats_are_as_long_as_they_are(spark):
+    r = random.Random(7)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    passage = [word() for _ in range(300)]
+    data = [(i, [word() for _ in range(30)] + passage[i * 10 : 300 - i] + [word() for _ in range(20)]) for i in range(6)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string").repartition(3)
+    found = {x.doc_id: x for x in substrings.remove_repeats(df).collect()}
+    for i, _ in data:
+        (span,) = found[i].spans if i else (None,)
+        if i:
+            assert (span.start, span.end) == (30, 30 + 300 - i - i * 10) and found[i].n_removed == 300 - 11 * i
+            assert max(x.end - x.start for x in found[i].repeats) == 300 - 11 * i
+            for x in found[i].repeats:
+                own, theirs = " ".join(data[i][1][x.start : x.end]), " ".join(data[x.earlier][1])
+                assert x.earlier < i and own in theirs
+
+
+def test_a_text_that_repeats_itself_is_one_run():
+    a, _ = substrings.suffixes(b"ab cd " * 5000, 50, 16)
+    assert len(substrings._runs(a)) <= 2
+
 
+def _passages():
     r = random.Random(4)
     word = lambda: f"w{r.randint(0, 400)}"
     shared = [[word() for _ in range(n)] for n in (12, 13, 40, 90)]
@@ -132,6 +185,8 @@ def test_substring_dedup(spark, monkeypatch, window, anchor, hot):
     for r in found.collect():
         assert sum(s["end"] - s["start"] for s in r.spans) == r.n_removed and len(r.kept_text.encode().split()) == r.n_words - r.n_removed
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(df, window=4, anchor=5)
 
 
 def test_substring_dedup_on_the_documents(spark, small):
