@@ -104,10 +104,10 @@ def plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: i
     body = utf8(payload_col)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("size"))
     hashed = source.withColumn("sha256", F.sha2("body", 256))
-    # only groups of two or more are needed; they are pre-aggregated by digest and, as a table, of known size
+    # only groups of two or more are needed, pre-aggregated by digest; payloads meet them by a shuffle, whatever their number
     groups = hashed.where(F.col("size") >= least).groupBy("sha256", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = materialize(groups, "warc-groups")
-    joined = hashed.join(groups.withColumn("grouped", F.lit(True)), ["sha256", "size"], "left")
+    joined = hashed.join(groups.withColumn("grouped", F.lit(True)).hint("shuffle_hash"), ["sha256", "size"], "left")
     revisit = F.coalesce(F.col("grouped") & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     return joined.select("page_id", "url", "body", "size", F.sha1("body").alias("sha1"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers"))
 
