@@ -6,8 +6,8 @@
 2. Runs of documents ("blocks") get a dictionary each, cut into buckets by word hash. The dictionaries alone are
    shuffled, by bucket: equal words of all blocks stand together and each distinct word is encoded once. A word,
    however frequent, is one entry in each block, so there is no hot key. Each block gets the ids of its own words.
-3. Blocks, as positions in their dictionaries, meet those answers by block. Each word's ids are turned into pieces by
-   a join on the vocabulary; ids and pieces are put in the place of each position.
+3. Blocks, as positions in their dictionaries, meet those answers by block. The ids of a block's distinct words are joined with
+   the vocabulary's pieces by id; ids and pieces are put in the place of each position.
 
 Steps 2 and 3 read the input once each and cut it into blocks alike. A block's name holds a digest of its content, so an
 input that is not the same both times is noticed; stable=False (the default) writes it to the shared folder first.
@@ -62,15 +62,28 @@ def _tokenizer(text: str):
 
 
 @lru_cache(maxsize=2)
-def pieces(text: str) -> list[bytes]:
-    """id -> the bytes that the decoder puts in its place; bounded by the vocabulary."""
+def vocabulary(text: str) -> pa.Table:
+    """id, piece: the bytes that the decoder puts in an id's place; bounded by the vocabulary."""
     t = _tokenizer(text)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(printable))}
-    out = [b""] * (max(t.get_vocab(with_added_tokens=True).values()) + 1)
-    for piece, i in t.get_vocab(with_added_tokens=True).items():
-        out[i] = bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()
-    return out
+    every = sorted((i, bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()) for piece, i in t.get_vocab(with_added_tokens=True).items())
+    return pa.table({"id": pa.array([i for i, _ in every], pa.uint32()), "piece": pa.array([x for _, x in every], pa.large_binary())})
+
+
+def decode_words(ids: list[bytes], vocab: pa.Table) -> list[bytes]:
+    """ids: of each word, as unsigned 32-bit integers. The words' pieces, by a join of all their ids with the vocabulary."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    placed = pa.table({"at": pa.array(np.arange(len(flat))), "id": pa.array(flat)})
+    joined = placed.join(vocab, "id", join_type="inner", use_threads=False).sort_by("at").column("piece").combine_chunks()
+    if len(joined) != len(flat):
+        raise ValueError("an id is not in the vocabulary")
+    if not len(flat):
+        return [b""] * len(ids)
+    ends = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1, 8 * joined.offset)
+    body = joined.buffers()[2].to_pybytes() if joined.buffers()[2] else b""
+    bounds = ends[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])].tolist()
+    return [body[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -109,6 +122,16 @@ def _whole(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+#: Bytes of input, as stored, for each bucket of the distinct-word table.
+BUCKET_BYTES = 10_000_000
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    """What the planner knows of a scan's size; a size it does not know counts as none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
 #: Words of a block, which bounds what a task holds; a longer text is a block of its own.
 BLOCK_WORDS = 1_000_000
 
@@ -189,7 +212,7 @@ def _answers(blob: bytes) -> list[bytes]:
 
 def _rejoin(rows: Iterator[tuple], text: str, with_tokens: bool) -> Iterator[tuple]:
     """Rows of a block: its answers by bucket, then its documents' positions."""
-    piece = pieces(text)
+    vocab = vocabulary(text)
     now, ids = None, []
     for block, size, keys, body in rows:
         if block != now:
@@ -199,7 +222,7 @@ def _rejoin(rows: Iterator[tuple], text: str, with_tokens: bool) -> Iterator[tup
             continue
         if len(ids) != size:
             raise RuntimeError("the input was not the same when it was read again; use stable=False")
-        shown = [b"".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+        shown = decode_words(ids, vocab)
         codes = _whole(_open(body))
         documents = pa.ipc.open_stream(_open(keys)).read_all()
         start = 0
@@ -215,7 +238,8 @@ def _rejoin(rows: Iterator[tuple], text: str, with_tokens: bool) -> Iterator[tup
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, buckets: int | None = None, with_tokens: bool = False, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with_tokens also ids and decoded.
 
-    buckets: groups of the distinct-word table, each held by one task at a time; by default one for each shuffle partition.
+    buckets: groups of the distinct-word table, each held by one task at a time; by default one for BUCKET_BYTES of input, and at least one
+    for each shuffle partition, so a bucket does not grow with the input.
     stable: docs is a plain scan of files, and so the same rows in the same order whenever it is read.
     """
     spark = docs.sparkSession
@@ -223,10 +247,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bound_batches(spark)
     text = tokenizer_text(path)
     shipped = spark.sparkContext.broadcast(text)  # one file of a fixed size
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not stable:
         source = materialize(source, "bpe-input")
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_stored_bytes(source) // BUCKET_BYTES))
     split = source.select("doc_id", F.split("text", WORD_CUT).alias("words"))
 
     dictionary_schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
@@ -243,7 +267,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_bucket = dictionary.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     answers = map_rows(by_bucket, lambda rows: _encode_bucket(rows, shipped.value), "block string, bucket int, body binary", dictionary_schema)
     both = positions.select("block", F.lit(2147483647).alias("place"), "size", "keys", "body").unionAll(answers.select("block", F.col("bucket").alias("place"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "body"))
-    together = both.repartition("block").sortWithinPartitions("block", "place").select("block", "size", "keys", "body")
+    together = both.repartition(2 * buckets, "block").sortWithinPartitions("block", "place").select("block", "size", "keys", "body")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_tokens
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int64())), ("decoded", pa.string())] * with_tokens)
     return map_rows(together, lambda rows: _rejoin(rows, shipped.value, with_tokens), schema, arrow)

@@ -269,3 +269,67 @@ def test_bpe_blocks_hold_a_bounded_number_of_words(monkeypatch):
         assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 5 for p in parts)
         keys = [k for _, ids, *_ in bpe._blocks(iter([whole]), 3) for k in ids]
         assert keys == whole.column(0).to_pylist()
+
+
+def test_decode_words_joins_ids_with_pieces():
+    t = bpe._tokenizer(bpe.tokenizer_text())
+    words = ["naïve", " the", "日本語", "", "<|endoftext|>", " x1", "the"]
+    ids = [np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    vocab = bpe.vocabulary(bpe.tokenizer_text())
+    assert [x.decode() for x in bpe.decode_words(ids, vocab)] == words
+    assert bpe.decode_words([], vocab) == [] and bpe.decode_words([b"", b""], vocab) == [b"", b""]
+    with pytest.raises(ValueError):
+        bpe.decode_words([np.array([1 << 30], "<u4").tobytes()], vocab)
+
+
+def _ftrl_by_the_paper(sample, order, classes, alpha, beta, l1, l2):
+    """FTRL-proximal coordinate by coordinate, with a softmax over the classes."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        sign = 1.0 if z[i, c] > 0 else -1.0
+        return -(z[i, c] - sign * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2)
+
+    for at in order:
+        y, ids, x = sample[at]
+        held = {(i, c): weight(i, c) for i in ids for c in range(classes)}
+        scores = [sum(v * held[i, c] for i, v in zip(ids, x)) for c in range(classes)]
+        e = [np.exp(s - max(scores)) for s in scores]
+        for i, v in zip(ids, x):
+            for c in range(classes):
+                g = v * (e[c] / sum(e) - (c == y))
+                sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / alpha
+                z[i, c] += g - sigma * held[i, c]
+                n[i, c] += g * g
+    return weight
+
+
+def test_ftrl_equals_the_paper():
+    r = np.random.default_rng(3)
+    p = langid.Params(epochs=2, l1=0.05, l2=0.1)
+    sample = []
+    for _ in range(40):
+        ids = np.append(np.sort(r.choice(12, 5, replace=False)), 12)
+        sample.append((int(r.integers(3)), ids, np.append(r.random(5) * 2, 1.0)))
+    found = langid.ftrl(sample, 3, 12, p)
+    rng = np.random.default_rng(0)
+    order = [i for _ in range(p.epochs) for i in rng.permutation(len(sample))]
+    weight = _ftrl_by_the_paper(sample, order, 3, p.alpha, p.beta, p.l1, p.l2)
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(13)])
+    assert np.allclose(found, want, atol=1e-9) and (want == 0).any() and (want != 0).any()
+
+
+def test_language_id_on_held_out_documents(spark, small):
+    found = langid.op9_language_id(spark, small).where("held_out").join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    right = sum(r.lang == r.lang_pred for r in found)
+    assert len(found) > 20 and right >= 0.95 * len(found)
+
+
+def test_language_id_beside_clashing_columns(spark):
+    data = [(i, ("der die das und " if i % 2 else "the and of to ") * (i % 5 + 2), "de" if i % 2 else "en", "x", 1, "y", 0.5) for i in range(80)] + [(90, None, None, None, None, None, None), (91, "12 34", "en", None, None, None, None), (None, "the of", "en", None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, score long, lang_pred string, unit double")
+    found = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert found[90].lang_pred == found[91].lang_pred == "und" and found[90].score == 0.0 and found[None].lang_pred == "en"
+    assert all(found[i].lang_pred == ("de" if i % 2 else "en") for i in range(80))
