@@ -1,11 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share; names and partitions of frames."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
 
@@ -24,3 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its scan has fewer tasks than there are cores: work on texts is heavier than moving what little that is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores where a column has it already; Spark's names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

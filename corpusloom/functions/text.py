@@ -27,6 +27,11 @@ def document_text(lane: Column, text: Column, prompt: Column, response: Column)
     return F.when(lane == "instruct", canonical_json(prompt=prompt, response=response)).otherwise(text)
 
 
+def training_text(lane: Column, text: Column, prompt: Column, response: Column) -> Column:
+    """What a tokenizer is trained on: prompt, a space and response of a pair, else the text."""
+    return F.when(lane == "instruct", F.concat_ws(" ", prompt, response)).otherwise(text)
+
+
 def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shared import fresh
 from corpusloom.operators import gate as gate_rule
 
 ADMITTED = ("ACCEPT", "ACCEPT_FLOOR_OVERRIDE")
@@ -21,8 +22,12 @@ def rejected_and_consumed(rejected: DataFrame, consumed: DataFrame, key: str) ->
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows, with their numbers, that one of two tables has more often: side, and the columns."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    """Rows, with their numbers, that one of two tables has more often: the columns, and side. One aggregation of both tables."""
+    count = fresh(left.columns, "_n")
+    both = left.withColumn(count, F.lit(1)).unionByName(right.withColumn(count, F.lit(-1)))
+    summed = both.groupBy(*left.columns).agg(F.sum(count).alias(count)).where(F.col(count) != 0)
+    side = F.explode(F.array_repeat(F.when(F.col(count) > 0, "left").otherwise("right"), F.abs(F.col(count)).cast("int")))
+    return summed.select(*left.columns, side.alias("side"))
 
 
 def missing_steps(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -105,6 +110,53 @@ def segment_losses(spans: DataFrame, losses: DataFrame) -> DataFrame:
     return spans.join(losses, ["step", "row"]).withColumn("loss_sum", F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))).drop("values")
 
 
+def unequal_segments(want: DataFrame, got: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys of segments that are not the same, or in one table only: an order-sensitive comparison, since the keys hold the place."""
+    a = want.select(*keys, F.struct(*columns).alias("_want"))
+    both = a.join(got.select(*keys, F.struct(*columns).alias("_got")), keys, "full")
+    return both.where(~F.col("_want").eqNullSafe(F.col("_got"))).select(*keys)
+
+
+def every_and_some(rows: DataFrame, by: list[str], matches: Column) -> DataFrame:
+    """by, every, some: whether all, or any, rows of a group match; a null counts as no."""
+    hit = F.coalesce(matches, F.lit(False))
+    return rows.groupBy(*by).agg(F.bool_and(hit).alias("every"), F.bool_or(hit).alias("some"))
+
+
+def largest_difference(rows: DataFrame, left: str, right: str) -> DataFrame:
+    return rows.agg(F.max(F.abs(F.col(left) - F.col(right))).alias("max_abs_diff"))
+
+
+def set_union(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by, members: the sorted distinct values of a group."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(column)).alias("members"))
+
+
+def all_streams(**streams: DataFrame) -> DataFrame:
+    """The rows of several streams (live, orphans, branches) with the stream's name; repeated rows stay."""
+    out = None
+    for name, rows in streams.items():
+        named = rows.withColumn("stream", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def packed_samples(spans: DataFrame, sequence: list[str], n: int = 3) -> DataFrame:
+    """The first n sequences, in order, that hold two segments or more."""
+    several = spans.groupBy(*sequence).agg(F.count("*").alias("segments")).where("segments >= 2")
+    return several.orderBy(*sequence).limit(n)
+
+
+def not_held_out(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of a held-out scoring whose document is unknown or of another split than val and eval."""
+    return rows.join(docs.select("doc_key", "split"), "doc_key", "left").where(~F.coalesce(F.col("split").isin("val", "eval"), F.lit(False)))
+
+
+def share_deviation(shares: DataFrame) -> DataFrame:
+    """stage, max_deviation of the actual shares from the planned ones."""
+    return shares.groupBy("stage").agg(F.max(F.abs(F.col("actual_share") - F.col("planned_share"))).alias("max_deviation"))
+
+
 def run_audit(checks: dict[str, DataFrame]) -> list[tuple[str, bool, int]]:
     """(check, passed, violations). A check whose query fails does not pass; no checks are no pass."""
     if not checks:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.shared import spread
 from corpusloom.sources.shards import file_hashes
 
 RAW_SCHEMA = "doc_id string, lane string, split string, origin string, content_sha256 string, text string, prompt string, response string"
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table of texts, in as many tasks as there are cores at least."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw documents from JSON lines; blank lines are skipped, a line that is no record is an error, a path that is not there is no documents."""
     try:
@@ -50,10 +56,10 @@ def _split(number):
 
 def documents_by_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_key, lane, split, content, prompt: prose, conversation pairs and pages (taken whole, as code is) in one form."""
-    web = table(spark, sf_dir, "documents").select(F.lit("web").alias("lane"), F.col("doc_id").alias("number"), F.col("text").alias("content"), F.lit(None).cast("string").alias("prompt"))
+    web = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("web").alias("lane"), F.col("doc_id").alias("number"), F.col("text").alias("content"), F.lit(None).cast("string").alias("prompt"))
     pairs = pair_turns(table(spark, sf_dir, "conversations"))
     instruct = pairs.select(F.lit("instruct").alias("lane"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), T.canonical_json(prompt=F.col("prompt"), response=F.col("response")).alias("content"), "prompt")
-    code = table(spark, sf_dir, "pages").select(F.lit("code").alias("lane"), F.col("page_id").alias("number"), F.col("html").alias("content"), F.lit(None).cast("string").alias("prompt"))
+    code = texts(spark, sf_dir, "pages", "page_id", "html").select(F.lit("code").alias("lane"), F.col("page_id").alias("number"), F.col("html").alias("content"), F.lit(None).cast("string").alias("prompt"))
     every = web.unionByName(instruct).unionByName(code)
     return every.select(T.document_key(F.col("lane"), F.col("number")).alias("doc_key"), "lane", _split(F.col("number")).alias("split"), F.coalesce("content", F.lit("")).alias("content"), "prompt")
 

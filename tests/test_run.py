@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import checkpoint, ledger, mixture
+from corpusloom.operators import audit, checkpoint, ledger, mixture
+from corpusloom.streaming import requirements
 from corpusloom.streaming import run as runs
 
 STAGES = (mixture.Stage("warmup", 1, 5, {"web": 0.6, "code": 0.25, "instruct": 0.15}), mixture.Stage("main", 6, 12, {"web": 0.45, "code": 0.3, "instruct": 0.25}, 0.56))
@@ -138,3 +139,59 @@ def test_a_run_ends_where_a_lane_does(spark, plan, tmp_path):
     short = runs.Run(spark, str(tmp_path))
     last = short.advance(few, 12, 8)
     assert 0 < last < 12 and short.snapshot().step == last and [s[0] for s in _stream(short)] == list(range(1, last + 1))
+
+
+def _failed(checks):
+    return {name for name, passed, _ in audit.run_audit(checks) if not passed}
+
+
+def test_requirements_hold(spark, world, plan):
+    inputs, whole, broken = world
+    checks = requirements.run_checks(broken, inputs, inputs.flags) | requirements.recovery_checks(broken, whole) | requirements.replay_checks(broken, inputs, 4, 8)
+    assert len(checks) == 38 and _failed(checks) == set()
+    if any(r.branch == "side" for r in [runs.Run(spark, broken.root, "side")]):
+        forked = mixture.compile_rows(mixture.fork_stages(STAGES, 11, {"web": 0.2, "code": 0.4, "instruct": 0.4}), steps=12)
+        own = runs.Inputs(inputs.facts, inputs.flags, inputs.tokens, forked, inputs.losses, seq_len=64)
+        assert _failed(requirements.fork_checks(broken, runs.Run(spark, broken.root, "side"), own)) == set()
+
+
+class Forged(runs.Run):
+    """A run whose stored rows have been tampered with."""
+
+    def __init__(self, run, change):
+        super().__init__(run.spark, run.root, run.branch)
+        self.change = change
+
+    def stored(self):
+        return self.change(super().stored())
+
+
+def _edited(ledger_name, pattern, new, where="true"):
+    return lambda rows: rows.withColumn("data", F.when((F.col("ledger") == ledger_name) & F.expr(where), F.regexp_replace("data", pattern, new)).otherwise(F.col("data")))
+
+
+@pytest.mark.parametrize(
+    "change,flips",
+    [
+        (lambda rows: rows.where("not (ledger = 'consumption' and seq = 6)"), {"end_to_end.every_step_to_the_last_snapshot_once", "ledgers.chains_end_in_their_heads"}),
+        (lambda rows: rows.unionAll(rows.where("ledger = 'consumption' and seq = 6").withColumn("seq", F.lit(5).cast("long"))), {"end_to_end.every_step_to_the_last_snapshot_once", "ledgers.batch_ids_unique"}),
+        (_edited("decisions", '"decision":"ACCEPT"', '"decision":"REJECT"', "seq = 3 or seq = 4 or seq = 0 or seq = 1 or seq = 2"), {"gate.decisions_follow", "ledgers.chains_end_in_their_heads"}),
+        (_edited("learning", '"loss":[0-9.]+', '"loss":9.5', "seq = 2"), {"learning_trace.losses_add_up", "ledgers.chains_end_in_their_heads"}),
+        (_edited("learning", '"batch_id":"B', '"batch_id":"C', "seq = 2"), {"ledgers.learning_binds_to_consumption"}),
+        (_edited("consumption", '"spans":\\["web/[0-9]+:', '"spans":["held/1:', "seq = 7"), {"eval_firewall.only_train_documents_in_any_stream", "packing.spans_sound", "learning_trace.segments_are_the_consumed_spans"}),
+        (_edited("consumption", '"spans":\\["web/[0-9]+:', '"spans":["web/3:', "seq = 7"), {"eval_firewall.no_flagged_document_in_any_stream", "gate.admitted_before_consumed"}),
+        (_edited("consumption", '"shortfall":[0-9]+', '"shortfall":3', "seq = 7"), {"mixture.planned_less_shortfall_and_backfill"}),
+    ],
+)
+def test_forgeries_flip_checks(world, change, flips):
+    inputs, whole, broken = world
+    failed = _failed(requirements.run_checks(Forged(whole, change), inputs, inputs.flags))
+    assert flips <= failed
+
+
+def test_another_stream_is_noticed(world):
+    inputs, whole, broken = world
+    other = Forged(whole, _edited("consumption", '"batch_id":"B', '"batch_id":"C', "seq = 2"))
+    assert _failed(requirements.recovery_checks(broken, other)) == {"crash_recovery.stream_is_the_uninterrupted_one"}
+    assert {"crash_recovery.recorded", "crash_recovery.orphans_kept"} <= _failed(requirements.recovery_checks(whole, broken))
+    assert "replay.batches_from_the_ledger" in _failed(requirements.replay_checks(other, inputs, 4, 8))
