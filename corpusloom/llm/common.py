@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.shared import new_dir
+from corpusloom.functions.shared import fresh, new_dir, quoted, spread
 from corpusloom.functions.shipping import ship
 
 #: ASCII letters only, as the contracts ask; bytes.lower() and this agree.
@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, in as many tasks as there are cores at least."""
+    return spread(table(spark, sf_dir, name))
+
+
+__all__ = ["LOWER", "UPPER", "batches", "bound_batches", "fresh", "map_rows", "materialize", "new_dir", "quoted", "release", "row_key", "rows_of", "spread", "table", "text_sha256", "texts", "utf8"]
+
+
 def utf8(text_col: str):
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
@@ -42,19 +50,6 @@ def text_sha256(text_col: str):
     return F.sha2(utf8(text_col), 256)
 
 
-def quoted(name: str) -> str:
-    """A column's name as it stands, whatever characters it has."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def fresh(columns: list[str], name: str) -> str:
-    """name, with underscores where a column has it already; Spark's names differ by more than case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of at most so many rows or, nearly, bytes of strings and binaries."""
     held: list[tuple] = []
