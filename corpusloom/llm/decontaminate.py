@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, UPPER, materialize, row_key, table, text_sha256
+from corpusloom.llm.common import LOWER, UPPER, materialize, row_key, table, text_sha256, texts
 
 WINDOW = 10
 #: What stands between words; lower-casing A-Z afterwards moves no boundary.
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+    return contamination(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 OP4_SQL = r"""

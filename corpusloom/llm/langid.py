@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.shipping import ship
-from corpusloom.llm.common import bound_batches, map_rows, release, table
+from corpusloom.llm.common import bound_batches, map_rows, release, texts
 
 
 @dataclass(frozen=True)
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return identify(docs).select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

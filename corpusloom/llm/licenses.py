@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, table
+from corpusloom.llm.common import map_rows, texts
 
 GRAM, WINNOW, BAND, LEAST = 5, 4, 8, 0.8
 #: Words up to which every run of a template is indexed, and not the winnowed ones of GRAM words alone.
@@ -265,6 +265,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(texts(spark, sf_dir, "documents"))
     shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.format_number(m["coverage"], 4)))
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(shown, ",").alias("licenses"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, materialize, table, utf8
+from corpusloom.llm.common import map_rows, materialize, texts, utf8
 
 MIN_LINES, BLOCK_CHARS = 3, 40
 _BLANK = b" \t\r\x0b\x0c"
@@ -181,10 +181,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length, and whether the block was moved. A copy of a whole text has the blocks of the alignment with its smallest holder alone.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).withColumn("row", F.xxhash64("data")).select("doc_id", "row", "data")
-    texts = _texts(source.where("doc_id is not null"))
-    found = _blocks(texts).select("doc_id", "row", "blocks", F.lit(None).cast("long").alias("original"))
+    distinct = _texts(source.where("doc_id is not null"))
+    found = _blocks(distinct).select("doc_id", "row", "blocks", F.lit(None).cast("long").alias("original"))
     # a copy of its text's smallest holder: rows of (row, sha) with other ids
-    groups = texts.where("doc_id < last").select("sha", "row", F.col("doc_id").alias("original"))
+    groups = distinct.where("doc_id < last").select("sha", "row", F.col("doc_id").alias("original"))
     ids = source.where("doc_id is not null").select("doc_id", "row", F.sha2("data", 256).alias("sha"))
     copies = ids.join(groups, ["sha", "row"]).where("original < doc_id").select("doc_id", "row", F.lit(None).cast(found.schema["blocks"].dataType).alias("blocks"), "original").distinct()
     gone = materialize(found.unionByName(copies), "lines-gone")
@@ -206,7 +206,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents")).drop("blocks")
+    return deduplicate(texts(spark, sf_dir, "documents")).drop("blocks")
 
 
 #: What the alignments amount to: a line goes if it lies in a run of three lines, or of 40 bytes, that an earlier document holds.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, table
+from corpusloom.llm.common import map_rows, texts
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones, in the order in which they are listed after them.
@@ -133,7 +133,7 @@ def _joined(spans):
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(table(spark, sf_dir, "documents"))
+    found = detect(texts(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(

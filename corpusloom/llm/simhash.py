@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.shipping import ship
-from corpusloom.llm.common import bound_batches, map_rows, materialize, release, row_key, table, text_sha256, utf8
+from corpusloom.llm.common import bound_batches, map_rows, materialize, release, row_key, text_sha256, texts, utf8
 from corpusloom.llm.components import components
 
 SEED = 42
@@ -179,4 +179,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(texts(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

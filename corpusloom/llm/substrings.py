@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, materialize, table, utf8
+from corpusloom.llm.common import map_rows, materialize, texts, utf8
 
 WINDOW = 50
 ANCHOR = 16
@@ -327,4 +327,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(texts(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
