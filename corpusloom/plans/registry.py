@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import audited  # noqa: F401  its queries register themselves
 from corpusloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

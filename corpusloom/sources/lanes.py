@@ -55,13 +55,13 @@ def _split(number):
 
 
 def documents_by_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_key, lane, split, content, prompt: prose, conversation pairs and pages (taken whole, as code is) in one form."""
-    web = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("web").alias("lane"), F.col("doc_id").alias("number"), F.col("text").alias("content"), F.lit(None).cast("string").alias("prompt"))
+    """doc_key, lane, split, content, prompt, response: prose, conversation pairs and pages (taken whole, as code is) in one form."""
+    web = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("web").alias("lane"), F.col("doc_id").alias("number"), F.col("text").alias("content"), F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("response"))
     pairs = pair_turns(table(spark, sf_dir, "conversations"))
-    instruct = pairs.select(F.lit("instruct").alias("lane"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), T.canonical_json(prompt=F.col("prompt"), response=F.col("response")).alias("content"), "prompt")
-    code = texts(spark, sf_dir, "pages", "page_id", "html").select(F.lit("code").alias("lane"), F.col("page_id").alias("number"), F.col("html").alias("content"), F.lit(None).cast("string").alias("prompt"))
+    instruct = pairs.select(F.lit("instruct").alias("lane"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), T.canonical_json(prompt=F.col("prompt"), response=F.col("response")).alias("content"), "prompt", "response")
+    code = texts(spark, sf_dir, "pages", "page_id", "html").select(F.lit("code").alias("lane"), F.col("page_id").alias("number"), F.col("html").alias("content"), F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("response"))
     every = web.unionByName(instruct).unionByName(code)
-    return every.select(T.document_key(F.col("lane"), F.col("number")).alias("doc_key"), "lane", _split(F.col("number")).alias("split"), F.coalesce("content", F.lit("")).alias("content"), "prompt")
+    return every.select(T.document_key(F.col("lane"), F.col("number")).alias("doc_key"), "lane", _split(F.col("number")).alias("split"), F.coalesce("content", F.lit("")).alias("content"), "prompt", "response")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
