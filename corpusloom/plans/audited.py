@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +141,13 @@ def inputs_of(spark: SparkSession, sf_dir: str, plan: list[tuple] | None = None)
     return runs.Inputs(facts, lambda chosen: q._flags(spark, sf_dir, chosen), token_table(spark, sf_dir), mixture.compile_rows() if plan is None else plan, _losses)
 
 
+def _held(inputs: runs.Inputs, chosen: DataFrame) -> runs.Inputs:
+    """The same inputs of the run's candidates alone, kept, since a run asks for them in each interval."""
+    facts = inputs.facts.join(chosen, "doc_key", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = inputs.tokens.join(chosen, "doc_key", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    return replace(inputs, facts=facts, tokens=tokens, flags=inputs.flags(chosen).persist(StorageLevel.MEMORY_AND_DISK))
+
+
 @query()
 def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every batch of the default plan, as far as the documents reach: its id, digests and counts."""
@@ -153,9 +163,12 @@ class _Died(RuntimeError):
 @query()
 def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requirement, check, passed, violations of a run of the default plan that dies once and goes on, replayed, forked, and held to an uninterrupted one."""
-    root, inputs = new_dir(spark, "run"), inputs_of(spark, sf_dir)
+    root, every = new_dir(spark, "run"), inputs_of(spark, sf_dir)
+    # twice what the plan asks for: a run that needs more ends where a lane does, and both runs alike
+    chosen = control._candidates(every.facts.where("split = 'train'"), every.plan, SEQ, 2 * control.FURTHER)[0].select("doc_key").persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = _held(every, chosen)
     whole, run = runs.Run(spark, f"{root}/whole"), runs.Run(spark, f"{root}/broken")
-    last = whole.advance(inputs, q.STEPS, 20)
+    last = whole.advance(inputs, q.STEPS, 40)
     if last == 0:
         return spark.createDataFrame([], "requirement string, check string, passed boolean, violations long")
 
@@ -167,13 +180,11 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         run.advance(inputs, q.STEPS, max(1, last // 2), fault)
     except _Died:
         run.advance(inputs, q.STEPS, max(1, last // 2))
-    chosen = run.records("decisions").select("doc_key").distinct()
-    flags = q._flags(spark, sf_dir, chosen).cache()
     first = max(1, last // 2)
-    checks = requirements.run_checks(run, inputs, flags) | requirements.recovery_checks(run, whole) | requirements.replay_checks(run, inputs, first, last)
+    checks = requirements.run_checks(run, inputs, inputs.flags) | requirements.recovery_checks(run, whole) | requirements.replay_checks(run, inputs, first, last)
     if first + 2 <= last:
         other = mixture.compile_rows(mixture.fork_stages(mixture.STAGES, first + 2, {"web": 0.2, "code": 0.4, "instruct": 0.4}))
-        own = inputs_of(spark, sf_dir, other)
+        own = replace(inputs, plan=other)
         side = run.fork("side", first, own, inputs.plan)
         side.advance(own, last, last)
         checks |= requirements.fork_checks(run, side, own)

@@ -375,12 +375,21 @@ def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELD_SQL = SPANS_SQL.replace("WHERE split = 'train' AND lane = 'web'", "WHERE split <> 'train' AND lane = 'web'").replace("SELECT doc_key, lane, n_tokens, coalesce", "SELECT doc_key, split AS lane, n_tokens, coalesce").replace("PARTITION BY lane ORDER BY sha256", "PARTITION BY split ORDER BY sha256")
 
 
-@query(f"""WITH {_HELD_SQL} SELECT lane AS split, count(DISTINCT seq) AS sequences, count(*) AS segments, sum("end" - start)::BIGINT AS real_tokens, sum("end" - start - 1)::BIGINT AS loss_tokens FROM spans GROUP BY 1""")
+_HELD_BINS_SQL = _BEST_FIT_SQL.replace("SELECT lane, list(", "SELECT lane || ':' || split AS lane, list(", 1).replace("split = 'train' AND lane <> 'web' GROUP BY lane", "split <> 'train' AND lane <> 'web' GROUP BY lane, split")
+
+
+@query(f"""WITH RECURSIVE {_HELD_SQL}, {_HELD_BINS_SQL}
+SELECT 'web' AS lane, lane AS split, count(DISTINCT seq) AS sequences, count(*) AS segments, sum("end" - start)::BIGINT AS real_tokens, sum("end" - start - 1)::BIGINT AS loss_tokens FROM spans GROUP BY lane
+UNION ALL SELECT split_part(lane, ':', 1), split_part(lane, ':', 2), count(DISTINCT num), count(*), sum(l[i].n)::BIGINT, sum(l[i].n - 1)::BIGINT FROM steps WHERE i > 0 GROUP BY lane""")
 def held_out_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation and evaluation documents, packed without the gate, the last, partial sequence kept."""
-    docs = lanes.facts(spark, sf_dir).where("split <> 'train' and lane = 'web'").select("doc_key", F.col("split").alias("lane"), "n_tokens")
-    spans = packing.concat_spans(packing.with_order(docs), SEQ)
-    return spans.groupBy(F.col("lane").alias("split")).agg(F.countDistinct("seq").alias("sequences"), F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).cast("long").alias("real_tokens"), F.sum(F.col("end") - F.col("start") - 1).cast("long").alias("loss_tokens"))
+    """Validation and evaluation documents of every lane, packed by its policy without the gate, the last, partial sequences kept. loss_tokens: places that have a label."""
+    docs = lanes.facts(spark, sf_dir).where("split <> 'train'").select("doc_key", F.col("lane").alias("_lane"), F.concat_ws(":", "lane", "split").alias("lane"), "n_tokens")
+    docs = packing.with_order(docs)
+    columns = ["lane", "seq", "doc_key", "start", "end"]
+    web = packing.concat_spans(docs.where("_lane = 'web'"), SEQ).select(columns)
+    spans = web.unionByName(packing.best_fit_spans(docs.where("_lane <> 'web'"), SEQ).select(columns))
+    per = spans.groupBy("lane").agg(F.countDistinct("seq").alias("sequences"), F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).cast("long").alias("real_tokens"), F.sum(F.col("end") - F.col("start") - 1).cast("long").alias("loss_tokens"))
+    return per.select(F.split_part("lane", F.lit(":"), F.lit(1)).alias("lane"), F.split_part("lane", F.lit(":"), F.lit(2)).alias("split"), "sequences", "segments", "real_tokens", "loss_tokens")
 
 
 # --- tokenizer

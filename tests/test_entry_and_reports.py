@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import checkpoint, reports
+from corpusloom.operators import checkpoint, reports, runlog
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -75,3 +75,16 @@ def test_reports(spark):
     assert {x.step: x.identical for x in reports.compare_runs(a, b, ["step"], ["h"]).collect()} == {1: True, 2: False, 3: False}
     data, text = reports.evidence([("one", True, 0), ("two", False, 3)])
     assert '"passed": 1' in data and "| two | FAIL | 3 |" in text
+
+
+def test_run_log(spark, tmp_path):
+    log = runlog.RunLog("main")
+    log.add("checkpoint_saved", "step 20", step=20)
+    log.save(spark, f"{tmp_path}/log")
+    log.add("replayed", "equal", "PASS")
+    log.save(spark, f"{tmp_path}/log")
+    log.save(spark, f"{tmp_path}/log")
+    assert "PASS [main] replayed: equal" in log.text() and runlog.read(spark, f"{tmp_path}/log").count() == 2
+    assert [r.event for r in runlog.missing_phases(runlog.read(spark, f"{tmp_path}/log"), ["replayed", "forked"]).collect()] == ["forked"]
+    with pytest.raises(ValueError):
+        log.add("x", level="LOUD")
