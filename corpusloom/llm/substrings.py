@@ -328,3 +328,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(texts(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS earlier FROM w) WHERE earlier < doc_id
+), per AS (
+  SELECT doc_id, list(i) AS places FROM gone GROUP BY 1
+), kept AS (
+  SELECT doc_id, len(ws) AS n, coalesce(len(places), 0) AS removed,
+         array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: places IS NULL OR NOT list_contains(places, i)), lambda i: ws[i]), ' ') AS t
+  FROM d LEFT JOIN per USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_words, removed::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
