@@ -22,8 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[context.applicationId]
 
 
+_MADE: dict[str, list[str]] = {}  # by application, the folders handed out
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this application has written to the shared folder so far, once its results are stored elsewhere; returns how many folders."""
+    conf, made = spark.sparkContext._jsc.hadoopConfiguration(), _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(made)
 
 
 def spread(df: DataFrame) -> DataFrame:

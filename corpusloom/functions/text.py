@@ -70,6 +70,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of n tokens; none if there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n)))
+    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def learning_rate(step: Column, peak: float, warmup: int, total: int) -> Column:
     """Linear warm-up, then a cosine down to a tenth of the peak."""
     part = (step - warmup) / float(max(1, total - warmup))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,7 @@ def _scanned(spark, sf_dir):
     """(train, held out) with words, as the contamination scan takes them; benchmark items are held out too."""
 
     def words(text):
-        lowered = F.lower(F.coalesce(text, F.lit("")))
-        return F.filter(F.split(F.trim(F.regexp_replace(lowered, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")), " "), lambda x: x != "")
+        return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), "")
 
     docs = lanes.documents_by_lane(spark, sf_dir).select("doc_key", "lane", "split", T.sha256(F.col("content")).alias("content_sha256"), words(F.col("content")).alias("tokens"))
     bench = _table(spark, sf_dir, "benchmark").select(T.document_key(F.lit("benchmark"), F.col("item_id")).alias("doc_key"), T.sha256(F.col("text")).alias("content_sha256"), words(F.col("text")).alias("tokens"))
@@ -153,7 +153,8 @@ gated AS (
 
 @query(f"WITH {CONTAMINATION_SQL}, {_GATE} SELECT doc_key, lane, content_sha256, quality, score, decision, reason FROM decided")
 def gate_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.first_pass(lanes.facts(spark, sf_dir), _flags(spark, sf_dir), ACCEPT, REJECT)
+    facts = lanes.facts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # keys and numbers, which two joins need; the texts are read once
+    return gate.first_pass(facts, _flags(spark, sf_dir), ACCEPT, REJECT)
 
 
 @query(f"WITH {CONTAMINATION_SQL}, {_GATE} SELECT lane, decision, split_part(reason, ':', 1) AS reason, count(*) AS n FROM decided GROUP BY ALL")

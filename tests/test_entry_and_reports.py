@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import shared
 from corpusloom.operators import checkpoint, reports, runlog
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -88,3 +89,12 @@ def test_run_log(spark, tmp_path):
     assert [r.event for r in runlog.missing_phases(runlog.read(spark, f"{tmp_path}/log"), ["replayed", "forked"]).collect()] == ["forked"]
     with pytest.raises(ValueError):
         log.add("x", level="LOUD")
+
+
+def test_the_shared_folder_is_cleaned(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_MADE", {})
+    path = shared.new_dir(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and shared.clean(spark) == 1 and shared.clean(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
