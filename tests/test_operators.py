@@ -392,9 +392,13 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate([[2, 1], [3, 6], [4, 5]]):
         spark.createDataFrame([("main", s) for s in part], "run string, step int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     source = spark.readStream.schema("run string, step int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, control.STATE_STORE)
     stream = control.run_stream(source, sources, rows)
     started = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     started.awaitTermination(180)
+    spark.conf.set(provider, before)
     found = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
