@@ -113,6 +113,25 @@ def test_best_fit_equals_its_definition():
         assert [{s.key: s.end for s in b} for b in found + packer.flush()] == _best_fit_by_definition(lengths, 32, 4, 4)
 
 
+def test_forged_arrays_break_the_padding_rules(spark):
+    ok = (1, [1, 2, 3, 256], [2, 3, 256, 256], [1, 1, 0, 0], [0, 1, 2, 0], [1, 1, 1, 0])
+    rows = [ok, (2, *ok[1:3], [1, 1, 0, 1], *ok[4:]), (3, [1, 2, 3, 7], *ok[2:]), (4, *ok[1:5], [1, 0, 1, 0]), (5, ok[1][:3], *ok[2:]), (6, *ok[1:5], [1, 3, 3, 0])]
+    arrays = spark.createDataFrame(rows, "seq long, token array<int>, label array<int>, loss array<int>, position_id array<int>, segment array<int>")
+    found = {(r.seq, r.rule) for r in packing.padding_violations(arrays, ["seq"], 4).collect()}
+    assert found == {(2, "pad_loss"), (3, "pad_token"), (4, "pad_inside"), (4, "pad_token"), (4, "pad_loss"), (5, "length"), (6, "segments_mixed")}
+
+
+def test_forged_tokens_break_the_rules(spark):
+    spans = spark.createDataFrame([("instruct", 0, "a", 0, 7, 0)], "lane string, seq long, doc_key string, start long, end long, place long")
+    tokens = spark.createDataFrame([("a", [258, 5, 6, 259, 7, 8, 257], 4)], "doc_key string, tokens array<int>, loss_start int")
+    sound = packing.materialize_tokens(spans, tokens, ["lane", "seq"], response_only=True)
+    rules = lambda rows: sorted(r.rule for r in packing.token_violations(rows, spans, tokens, ["lane", "seq"], True).collect())
+    edit = lambda name, pos, value: sound.withColumn(name, F.when(F.col("pos") == pos, value).otherwise(F.col(name)))
+    assert rules(sound) == [] and rules(edit("loss", 1, 1)) == ["loss_on_prompt"] and rules(edit("loss", 4, 0)) == ["loss_missing"] and rules(edit("loss", 6, 1)) == ["loss_on_last"]
+    assert rules(edit("token", 2, 9)) == ["token"] and rules(edit("label", 2, 9)) == ["label"] and rules(edit("position_id", 2, 0)) == ["position"] and rules(edit("segment", 2, 2)) == ["segment"]
+    assert rules(sound.where("pos <> 3")) == ["missing"] and rules(edit("pos", 3, 9)) == ["beyond_spans", "missing"] and rules(sound.unionAll(sound.where("pos = 3"))) == ["twice", "twice"]
+
+
 def test_forged_spans_break_the_invariants(spark):
     docs = spark.createDataFrame([("a", "train", 9), ("b", "val", 4)], "doc_key string, split string, n_tokens int")
     rows = [(0, "a", 0, 9, 0), (1, "a", 3, 9, 0), (2, "b", 0, 4, 0), (3, "a", 0, 10, 0), (4, "a", 0, 2, 3), (5, "x", 0, 2, 0), (6, "a", 0, 9, 4)]

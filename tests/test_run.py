@@ -115,6 +115,9 @@ def test_a_fork_shares_its_past(spark, world, plan):
     assert broken.split()[0].agg(F.sha2(F.to_json(F.array_sort(F.collect_list("hash"))), 256)).first()[0] == before
     lineage = spark.read.json(f"{broken.root}/side/lineage").first()
     assert (lineage.parent_branch, lineage.fork_step, lineage.diverge_at_step) == ("main", 8, 11) and set(lineage.prefixes.asDict()) == set(runs.LEDGERS)
+    own = runs.Inputs(inputs.facts, inputs.flags, inputs.tokens, forked, inputs.losses, seq_len=64)
+    assert _failed(requirements.fork_checks(broken, side, own)) == set()
+    assert "fork.follows_its_own_plan" in _failed(requirements.fork_checks(broken, side, inputs))
     with pytest.raises(runs.ResumeError):
         broken.fork("late", 12, runs.Inputs(inputs.facts, inputs.flags, inputs.tokens, forked, seq_len=64), plan)
 
@@ -149,10 +152,6 @@ def test_requirements_hold(spark, world, plan):
     inputs, whole, broken = world
     checks = requirements.run_checks(broken, inputs, inputs.flags) | requirements.recovery_checks(broken, whole) | requirements.replay_checks(broken, inputs, 4, 8)
     assert len(checks) == 38 and _failed(checks) == set()
-    if any(r.branch == "side" for r in [runs.Run(spark, broken.root, "side")]):
-        forked = mixture.compile_rows(mixture.fork_stages(STAGES, 11, {"web": 0.2, "code": 0.4, "instruct": 0.4}), steps=12)
-        own = runs.Inputs(inputs.facts, inputs.flags, inputs.tokens, forked, inputs.losses, seq_len=64)
-        assert _failed(requirements.fork_checks(broken, runs.Run(spark, broken.root, "side"), own)) == set()
 
 
 class Forged(runs.Run):
