@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.shared import new_dir
-from corpusloom.operators import audit, contamination, mixture, packing
+from corpusloom.operators import audit, contamination, gate, ledger, mixture, packing, reports, tokenizer
 from corpusloom.plans import queries as q
 from corpusloom.plans.queries import BATCH, SEQ, query
-from corpusloom.sources import lanes
+from corpusloom.sources import lanes, shards
 from corpusloom.streaming import control, requirements
 from corpusloom.streaming import run as runs
 
@@ -120,13 +120,79 @@ def unequal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'P') AS rewritten FROM o GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'P') > 0""")
 def orphans_against_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a dead attempt (pending orders) that a live stream has again, by customer; all are identical."""
-    from corpusloom.operators import ledger
-
     orders = q._table(spark, sf_dir, "orders")
     found = ledger.orphans_against_live(orders.where("o_orderstatus = 'P'"), orders, "o_orderkey", ["o_custkey", "o_totalprice"]).where("identical")
     return found.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("rewritten"))
 
 
+@query(f"""WITH {q.FACTS_SQL}, g AS (SELECT doc_key, length(doc_key) % 5 AS defers, floor((quality + 0.04::DOUBLE * (length(doc_key) % 5)) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM facts)
+SELECT doc_key, score, CASE WHEN score < {q.REJECT} THEN 'REJECT' WHEN score >= {q.ACCEPT} THEN 'ACCEPT' WHEN defers >= 3 THEN 'REJECT' ELSE 'DEFER' END AS decision,
+       CASE WHEN score < {q.REJECT} THEN 'low_quality' WHEN score >= {q.ACCEPT} THEN 'score_ok' WHEN defers >= 3 THEN 'defer_expired' ELSE 'below_accept' END AS reason FROM g""")
+def gate_with_defers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's rule for documents that have been put off some times already."""
+    facts = lanes.facts(spark, sf_dir).select("doc_key", "quality", (F.length("doc_key") % 5).alias("defers"))
+    scored = facts.withColumn("score", gate.score(F.col("quality"), F.col("defers")))
+    decision, reason = gate.decide(F.lit(None).cast("string"), F.lit(False), F.col("score"), F.col("defers"), F.lit(q.ACCEPT), F.lit(q.REJECT))
+    return scored.select("doc_key", "score", decision.alias("decision"), reason.alias("reason"))
+
+
+@query(q.ORACLES["ledger_heads"])
+def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads after two appends, the second one from the heads that the first one committed."""
+    events = q._table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("ledger"), F.col("event_id").alias("seq_key"), F.to_json(F.struct("event_id", "event_type", "user_id")).alias("data"))
+    path = new_dir(spark, "ledger")
+    half = events.agg(F.max("event_id") / 2).first()[0] or 0
+    ledger.commit(ledger.append(rows.where(F.col("seq_key") <= half), f"{path}/rows", None, 1), f"{path}/commits", 1)
+    heads = ledger.append(rows.where(F.col("seq_key") > half), f"{path}/rows", ledger.committed(spark, f"{path}/commits")[1], 2)
+    return heads.select(F.col("ledger").cast("long").alias("user_id"), "records", "head")
+
+
+@query("SELECT l_returnflag AS lane, sum(l_quantity) / greatest(1, sum(l_linenumber)) AS loss, sum(l_linenumber)::BIGINT AS tokens FROM lineitem GROUP BY 1")
+def lane_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = q._table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("lane"), F.col("l_quantity").alias("loss_sum"), F.col("l_linenumber").alias("loss_tokens"))
+    return reports.lane_losses(segments, ["lane"])
+
+
+@query("SELECT (SELECT avg(o_custkey) FROM (SELECT o_custkey FROM orders ORDER BY o_orderkey LIMIT 10)) AS first_mean, (SELECT avg(o_custkey) FROM (SELECT o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 10)) AS last_mean")
+def first_and_last_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.first_and_last_mean(q._table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
+
+
+@query(f"WITH {q.LANES_SQL} SELECT doc_key AS doc_id, lane, split, sha256(content) AS content_sha256, sha256(content) AS stored_sha256 FROM docs")
+def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines by lane and split, and read again."""
+    docs = lanes.documents_by_lane(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    raw = docs.select(F.col("doc_key").alias("doc_id"), "lane", "split", none.alias("origin"), T.sha256(F.col("content")).alias("content_sha256"), F.col("content").alias("text"), none.alias("prompt"), none.alias("response"))
+    path = new_dir(spark, "raw")
+    lanes.write_raw(raw, path)
+    return lanes.read_raw(spark, path).select("doc_id", "lane", "split", "content_sha256", T.sha256(F.col("text")).alias("stored_sha256"))
+
+
+@query(f"WITH {q.FACTS_SQL} SELECT lane, split, ceil(count(*) / 128.0)::BIGINT AS shards, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens, 0::BIGINT AS damaged FROM facts GROUP BY 1, 2")
+def shard_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards written, described by manifests, pinned by a catalog, and read against both: sizes by lane and split, and documents that differ."""
+    facts = lanes.facts(spark, sf_dir).select("doc_key", "lane", "split", "content_sha256", "quality")
+    docs = facts.join(token_table(spark, sf_dir), "doc_key")
+    path = new_dir(spark, "shards")
+    shards.write_shards(shards.assign_shards(docs), f"{path}/tokens")
+    manifests = shards.manifest(spark, f"{path}/tokens", "hashed")
+    shards.write_catalog(manifests, f"{path}/catalog")
+    catalog = shards.load_catalog(spark, f"{path}/catalog")
+    off = shards.damaged(spark, f"{path}/tokens", manifests).select("shard_id").unionAll(shards.pin_mismatches(catalog, manifests).select("shard_id")).groupBy("shard_id").agg(F.count("*").alias("off"))
+    joined = catalog.join(off, "shard_id", "left")
+    return joined.groupBy("lane", "split").agg(F.count("*").alias("shards"), F.sum("num_docs").cast("long").alias("docs"), F.sum("num_tokens").cast("long").alias("tokens"), F.coalesce(F.sum("off"), F.lit(0)).cast("long").alias("damaged"))
+
+
+@query(f"WITH {q.LANES_SQL} SELECT 'instruct/' || (conv_id * 1000 + turn) AS doc_key, sha256(prompt || ' ' || response) AS text_sha256 FROM pairs UNION ALL SELECT doc_key, sha256(content) FROM docs WHERE lane <> 'instruct'")
+def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that each document's tokens decode to; special tokens leave no trace."""
+    trained = q.trained(spark, sf_dir)
+    found = tokenizer.decode(tokenizer.encode_documents(lanes.documents_by_lane(spark, sf_dir), trained), trained)
+    return found.select("doc_key", T.sha256(F.col("text")).alias("text_sha256"))
+
+
 # --- whole runs
 
 
