@@ -17,6 +17,7 @@ QUERIES: dict = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict = {
+    "op1_warc": warc.OP1_SQL,
     "op3_substring_dedup": substrings.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,

@@ -235,3 +235,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write(table(spark, sf_dir, "pages"), folder)
     found = records(read_chunks(manifest, folder, with_data=False))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), g AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i // 4 + 1, 2))::INT >> (3 - 5 * i % 4)) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
