@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpusloom.functions.shipping import ship
 from corpusloom.llm.common import bound_batches, map_rows, release, texts
@@ -206,16 +207,18 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", names: tuple[s
     bound_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # mapInArrow takes no names with dots or quotes
+    schema = StructType([*plain.schema.fields, StructField("pred", StringType()), StructField("score", DoubleType())])
 
     def run(source):
         m = shipped.value
         for b in source:
             found = [m.predict(x) for x in b.column(at).to_pylist()]
             lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, "pred", "score"])
         release()
 
-    return df.mapInArrow(run, df.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *names)
 
 
 def remainder():
