@@ -473,3 +473,23 @@ def test_tokenizer_counts_every_word(spark):
     assert trained.merges[0] == (ord("x"), ord("y")) and trained.merges[1] == (ord("a"), ord("b"))
     assert tokenizer.train(words, 6, limit=3) == trained  # over the limit words stay distributed
     assert tokenizer.train(words.limit(0), 6, limit=-1).merges == ()
+
+
+def test_distributed_training_makes_many_merges_a_round(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(letters[i] * (i % 3 + 1) + letters[(i * 7 + 3) % 26] + letters[(i * 11 + 5) % 26], 10 * i + 7) for i in range(26)]
+    words = spark.createDataFrame(rows, "word string, n long").coalesce(1)
+    spark.sparkContext.setJobGroup("training", "distributed")
+    found = tokenizer.train(words, 40, limit=3)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("training"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    split, merges = [(list(w.encode()), n) for w, n in rows], []
+    while len(merges) < 40:
+        counts = {}
+        for ids, n in split:
+            for p in zip(ids, ids[1:]):
+                counts[p] = counts.get(p, 0) + n
+        merges.append(min(counts, key=lambda p: (-counts[p], p)))
+        split = [(tokenizer._replace(ids, merges[-1], tokenizer.FIRST_MERGE + len(merges) - 1), n) for ids, n in split]
+    assert list(found.merges) == merges == list(tokenizer.train(words, 40).merges)
+    assert jobs < 40
