@@ -493,3 +493,19 @@ def test_distributed_training_makes_many_merges_a_round(spark):
         split = [(tokenizer._replace(ids, merges[-1], tokenizer.FIRST_MERGE + len(merges) - 1), n) for ids, n in split]
     assert list(found.merges) == merges == list(tokenizer.train(words, 40).merges)
     assert jobs < 40
+
+
+def test_documents_are_encoded_where_they_are(spark):
+    docs = spark.createDataFrame([("a", None, None, None), ("b", "é\u2003x 12\x0b\n\x1f", None, None), ("c", "{}", "no", "yes no"), ("d", "half", "no", None)], "doc_key string, content string, prompt string, response string")
+    encoded = tokenizer.encode_documents(docs, tokenizer.Tokenizer(((110, 111),)))
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    found = {r.doc_key: (r.tokens, r.loss_start) for r in encoded.collect()}
+    assert found["a"] == ([257], None)
+    assert found["b"] == ([*"é\u2003x 12\x0b\n\x1f".encode(), 257], None)
+    assert found["c"] == ([258, 260, 259, *b" yes ", 260, 257], 3)
+    assert found["d"] == ([*b"half", 257], None)
+    memo = tokenizer._Memo(tokenizer.Tokenizer(((97, 98), (260, 97), (261, 261))), 2)
+    for words in ({b"aba", b"b"}, {b"abaabaab"}, {b"b", b""}):
+        memo.meet(words)
+        assert {w: memo[w] for w in words} == {w: b"".join(i.to_bytes(4, "little") for i in tokenizer.encode_word(w, {(97, 98): 0, (260, 97): 1, (261, 261): 2})) for w in words}
+    assert len(memo) <= 3
