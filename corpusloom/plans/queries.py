@@ -425,8 +425,7 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenizer.encode_documents(lanes.documents_by_lane(spark, sf_dir), trained(spark, sf_dir))
-    return found.select("doc_key", F.size("tokens").alias("n_tokens"), "loss_start", F.sha2(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ","), 256).alias("token_sha256"))
+    return tokenizer.token_digests(lanes.documents_by_lane(spark, sf_dir), trained(spark, sf_dir)).select("doc_key", "n_tokens", "loss_start", "token_sha256")
 
 
 # --- ledgers and audits on the tables that have their shape

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,6 +513,37 @@ def test_documents_are_encoded_where_they_are(spark):
     assert len(memo) <= 3
 
 
+
+def test_words_are_split_merged_and_digested_together(spark, monkeypatch):
+    rng, alphabet = random.Random(5), [b" ", b" ", b"\n", b"\x0b", b"\x1c", b"a", b"b", b"Z", b"0", b"9", b".", b"\xc3\xa9", b"\xe2\x80\x83"]
+    texts = [b"".join(rng.choices(alphabet, k=rng.randrange(9))) for _ in range(2000)] + [b"ab" * 500, b" " + b"a" * 101]
+    found = re.compile(T.PRETOKEN.encode()).findall
+    monkeypatch.setattr(tokenizer, "PIECE", 100)
+    pieces = list(tokenizer._pieces(pa.array([b"left out", *texts], pa.binary()).slice(1)))
+    assert [x[0] for x in pieces] == [0, *(x[1] for x in pieces[:-1])] and pieces[-1][1] == len(texts) and len(pieces) > 50
+    for start, end, data, bounds in pieces:
+        words, which = tokenizer._distinct(data, tokenizer.split_words(data, bounds))
+        assert [words[i].as_py() for i in which] == [w for x in texts[start:end] for w in found(x)]
+    merges = ((97, 97), (97, 98), (260, 97), (261, 261), (32, 97), (98, 90), (263, 263), (264, 260))
+    words = sorted({w for x in texts for w in found(x)})
+    for longest in (tokenizer.DENSE, 0):  # side by side, and in a line
+        monkeypatch.setattr(tokenizer, "DENSE", longest)
+        ids, n, place = tokenizer._Merger(tokenizer.Tokenizer(merges)).ids(pa.array(words, pa.binary()))
+        ends = n.cumsum()
+        ranks = tokenizer.Tokenizer(merges).ranks()
+        assert [ids[ends[i] - n[i] : ends[i]].tolist() for i in place] == [tokenizer.encode_word(w, ranks) for w in words]
+
+    rows = [(f"{i}", x.decode(), None, None) for i, x in enumerate(texts[:50] + texts[-2:])] + [("p", "{}", "", "b "), ("q", "{}", " ab ", " ab"), ("r", None, "ab", None)]
+    docs = spark.createDataFrame(rows, "doc_key string, content string, prompt string, response string").repartition(2)
+    tokens = {r.doc_key: r for r in tokenizer.encode_documents(docs, tokenizer.Tokenizer(merges)).collect()}
+    digests = tokenizer.token_digests(docs, tokenizer.Tokenizer(merges))
+    assert {r.doc_key: (r.n_tokens, r.loss_start, r.token_sha256) for r in digests.collect()} == {k: (len(r.tokens), r.loss_start, hashlib.sha256(",".join(map(str, r.tokens)).encode()).hexdigest()) for k, r in tokens.items()}
+    assert tokens["p"].tokens == [258, 259, 32, 98, 32, 257] and tokens["p"].loss_start == 2 and tokens["r"].tokens == [257]
+    assert tokens["q"].tokens == [258, 32, 261, 32, 259, 32, 32, 261, 257] and tokens["q"].loss_start == 5
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (digests, tokenizer.word_counts(docs))]
+    assert not any(x in p for p in plans for x in ("transform(", "array_join", "regexp", "Generate"))
+
+
 def test_spans_of_one_place_are_held_to_the_rules_in_one_order(spark):
     docs = spark.createDataFrame([(k, "train", 9) for k in "abc"], "doc_key string, split string, n_tokens int")
     rows = [("web", 0, "a", 0, 1, 1), ("web", 0, "b", 0, 5, 1), ("web", 0, "c", 0, 2, 6)]
